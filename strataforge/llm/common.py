@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +90,13 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers started from now on find this package where the driver found it, unless they are told otherwise already."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
