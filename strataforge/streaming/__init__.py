@@ -1,0 +1 @@
+"""Snapshots are immutable once built, so there are no streaming operators; the package is kept for sources that would feed builds."""
