@@ -2,21 +2,24 @@
 
 The 64 bits are split into partitions that hold correlated bits together, and partitions get thresholds of their own that sum, each plus one, to
 the distance plus one: two fingerprints within the distance then meet some partition's threshold. The
-thresholds come from a dynamic programme over probes and estimated candidates, both counted over all fingerprints. Fingerprints
-that share a partition's probe are candidates and are verified on all bits.
+thresholds come from a dynamic programme over probes and estimated candidates, both counted over all fingerprints.
 
-A probe that very many fingerprints share (a large group of near copies) gives no list of pairs: two fingerprints at distance 2 or less lie one
-flip or less from a common point, so there each one visits the 65 points around it and those that meet at one are linked.
+Two values at t bits or less from each other lie t / 2 bits (rounded up) or less from a common point, so both sides visit the points around
+their own part of the bits, and those that meet at a point are verified on all bits, block by block where they meet. No list of pairs is
+made: what leaves a point is a spanning forest, or the nearest and the first neighbour of each. A point where very many meet is dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -27,9 +30,14 @@ BITS = 64
 SHINGLE = 3
 SEED = 42
 DISTANCE = 2
-#: A probe shared by more fingerprints than this is resolved by common points instead of pairs.
-GROUP_CAP = 48
-VERIFY_COST = 0.2
+#: A point where more fingerprints than this meet is dealt out as pairs of blocks of about this size.
+GROUP_CAP = 2048
+#: What it costs to verify a pair, in rows shuffled.
+VERIFY_COST = 0.02
+#: Near copies: five-word shingles, this similarity; candidates lie so many bits apart at most.
+NEAR_SHINGLE = 5
+SIMILARITY = 0.8
+NEAR_DISTANCE = 8
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -105,7 +113,7 @@ def partitions(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def allocate(costs: list[list[float]], distance: int = DISTANCE) -> tuple[float, list[int]]:
+def allocate(costs: list[list[float]], distance: int) -> tuple[float, list[int]]:
     """Thresholds (-1: not probed) with sum (t + 1) = distance + 1 and the least total cost; costs[i][t] is partition i's at threshold t."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for cost in costs:
@@ -123,6 +131,15 @@ def mask(bits: list[int]) -> int:
     return signed(sum(1 << b for b in bits))
 
 
+def _ball_size(bits: int, threshold: int) -> int:
+    return sum(math.comb(bits, k) for k in range(-(-threshold // 2) + 1))
+
+
+def _ball(bits: list[int], threshold: int) -> list[int]:
+    """What to flip to reach each point that a partner within threshold can share, nothing first."""
+    return [mask(list(c)) for k in range(-(-threshold // 2) + 1) for c in combinations(bits, k)]
+
+
 def plan(fps: DataFrame, distance: int = DISTANCE, most: int = 4) -> list[tuple[list[int], int]]:
     """The partitions to probe and their thresholds.
 
@@ -142,53 +159,98 @@ def plan(fps: DataFrame, distance: int = DISTANCE, most: int = 4) -> list[tuple[
     for m, ps in options.items():
         costs = []
         for i, p in enumerate(ps):
-            odds = differ[p] / np.maximum(1 - differ[p], 1e-9)
+            # elementary symmetric sums of the odds: pairs that differ in exactly k bits, for each that differs in none
+            ways = np.zeros(distance + 1)
+            ways[0] = 1
+            for odd in differ[p] / np.maximum(1 - differ[p], 1e-9):
+                ways[1:] += odd * ways[:-1]
             at0 = max(pairs.get((m, i), 0.0), n * n / 2 * float(np.prod(1 - differ[p])))
-            e1, e2 = odds.sum(), (odds.sum() ** 2 - (odds**2).sum()) / 2
-            ways = [at0, at0 * (1 + e1), at0 * (1 + e1 + e2)] + [math.inf] * distance
-            costs.append([n * sum(math.comb(len(p), k) for k in range(t + 1)) + VERIFY_COST * ways[t] for t in range(distance + 1)])
+            candidates = np.minimum(at0 * np.cumsum(ways), n * n / 2)
+            costs.append([n * _ball_size(len(p), t) + VERIFY_COST * candidates[t] for t in range(distance + 1)])
         found.append((*allocate(costs, distance), ps))
     _, thresholds, ps = min(found, key=lambda x: x[0])
     return [(p, t) for p, t in zip(ps, thresholds, strict=True) if t >= 0]
 
 
-def _ball(bits: list[int], radius: int) -> list[int]:
-    """What to flip to reach each point within radius over these bits, nothing first."""
-    out = [0]
-    if radius >= 1:
-        out += [signed(1 << b) for b in bits]
-    if radius >= 2:
-        out += [signed(1 << a | 1 << b) for k, a in enumerate(bits) for b in bits[:k]]
+def _forest(fp: np.ndarray, rank: np.ndarray, node: np.ndarray, distance: int) -> list[tuple]:
+    """Each member of a component within the distance, tied to the component's first member."""
+    label = np.arange(len(fp))
+    while True:
+        new = label.copy()
+        for a in range(0, len(fp), 1024):
+            near = np.bitwise_count(fp[a : a + 1024, None] ^ fp[None, :]) <= distance
+            new[a : a + 1024] = np.where(near, label[None, :], len(fp)).min(axis=1)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    tied = np.flatnonzero(label != np.arange(len(fp)))
+    return [(node[i], node[label[i]], 0, rank[label[i]]) for i in tied]
+
+
+def _earlier(fp: np.ndarray, rank: np.ndarray, node: np.ndarray, distance: int) -> list[tuple]:
+    """For each member its nearest and its first neighbour among those before it (by rank, then node)."""
+    out = []
+    order = np.lexsort([node, rank])
+    fp, rank, node = fp[order], rank[order], node[order]
+    for a in range(0, len(fp), 1024):
+        d = np.bitwise_count(fp[a : a + 1024, None] ^ fp[None, :]).astype(np.int16)
+        d[np.arange(len(fp))[None, :] >= np.arange(a, a + len(d))[:, None]] = BITS + 1
+        near, first = d.argmin(axis=1), (d <= distance).argmax(axis=1)
+        for i in np.flatnonzero(d.min(axis=1) <= distance):
+            for j in {near[i], first[i]}:
+                out.append((node[a + i], node[j], int(d[i, j]), rank[j]))
     return out
 
 
-def near_pairs(fps: DataFrame, distance: int = DISTANCE, cap: int = GROUP_CAP, chosen: list[tuple[list[int], int]] | None = None) -> DataFrame:
-    """Links (a, b) between distinct fingerprints, enough of them that whatever lies within the distance (2 at most) is connected.
+LINKS = "a long, b long, distance int, b_rank long"
 
-    fps: distinct values in column fp. Every pair within the distance has either its own link or a common point.
-    """
-    if distance != 2:
-        raise ValueError("common points one flip away join fingerprints at distance 2")
-    chosen = chosen or plan(fps, distance)
-
-    def probes(i: int, bits: list[int], t: int) -> Column:
-        base = F.col("fp").bitwiseAND(F.lit(mask(bits)))
-        return F.array(*(F.struct(F.lit(i).alias("part"), base.bitwiseXOR(F.lit(x)).alias("key"), F.lit(x == 0).alias("own")) for x in _ball(bits, t)))
 
-    keyed = fps.select("fp", F.explode(F.concat(*(probes(i, bits, t) for i, (bits, t) in enumerate(chosen)))).alias("k")).select("fp", "k.*")
-    size = keyed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # probes of a single fingerprint are dropped here: they link nothing
-    shared = stored(keyed.join(size, ["part", "key"]), "probes")
+def near_links(nodes: DataFrame, distance: int = DISTANCE, earlier: bool = False, cap: int = GROUP_CAP, chosen: list[tuple[list[int], int]] | None = None) -> DataFrame:
+    """Links between nodes (node, rank, fp: long) whose fingerprints are within the distance.
 
-    few = shared.filter(F.col("n") <= cap).groupBy("part", "key").agg(F.collect_set("fp").alias("everyone"), F.collect_set(F.when(F.col("own"), F.col("fp"))).alias("own"))
-    close = F.flatten(F.transform("own", lambda a: F.transform(F.filter("everyone", lambda b: (a != b) & (F.bit_count(a.bitwiseXOR(b)) <= distance)), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))))
-    pairs = few.select(F.explode(F.array_distinct(close)).alias("e")).select("e.a", "e.b")
+    By default a forest that connects all that such pairs connect; with `earlier`, real pairs: of each node with the nearest and the first of
+    its neighbours that come before it by rank, wherever they meet.
+    """
+    chosen = chosen or plan(nodes.select("fp").distinct(), distance)
 
-    many = shared.filter(F.col("n") > cap).select("fp").distinct()
-    points = many.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(x)) for x in _ball(list(range(BITS)), 1)))).alias("point"))
-    met = points.groupBy("point").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)  # 65 at most
-    joined = met.select(F.explode(F.slice("fps", 2, BITS + 1)).alias("b"), F.get("fps", F.lit(0)).alias("a")).select("a", "b")
-    return pairs.unionByName(joined).distinct()
+    def visits(i: int, bits: list[int], t: int) -> Column:
+        base = F.col("fp").bitwiseAND(F.lit(mask(bits)))
+        return F.array(*(F.xxhash64(F.lit(i), base.bitwiseXOR(F.lit(x))) for x in _ball(bits, t)))
+
+    keyed = nodes.select("node", "rank", "fp", F.explode(F.concat(*(visits(i, bits, t) for i, (bits, t) in enumerate(chosen)))).alias("key"))
+    crowded = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap), "crowded")
+    if not crowded.isEmpty():
+        blocks = F.ceil(F.col("n") / cap).cast("int")
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.xxhash64("key", F.least(x, own), F.greatest(x, own)))
+        spread = keyed.join(crowded, "key", "left").withColumn("keys", F.when(F.col("n").isNull(), F.array("key")).otherwise(cells))
+        keyed = spread.select("node", "rank", "fp", F.explode("keys").alias("key"))
+    tie = _earlier if earlier else _forest
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in pdfs:  # sorted by key; the last key of a batch may go on in the next
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            key = pdf["key"].to_numpy()
+            end = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            held = pdf.iloc[end:]
+            yield links(pdf.iloc[:end])
+        if held is not None:
+            yield links(held)
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, node, rank, fp = (pdf[c].to_numpy() for c in ("key", "node", "rank", "fp"))
+        fp = fp.view(np.uint64) if len(fp) else fp
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+        out: list[tuple] = []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if b - a > 1:
+                out += tie(fp[a:b], rank[a:b], node[a:b], distance)
+        return pd.DataFrame(out, columns=["a", "b", "distance", "b_rank"])
+
+    dealt = keyed.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInPandas(run, struct(LINKS))
 
 
 def simhash_components(docs: DataFrame, distance: int = DISTANCE, cap: int = GROUP_CAP) -> DataFrame:
@@ -199,26 +261,85 @@ def simhash_components(docs: DataFrame, distance: int = DISTANCE, cap: int = GRO
     """
     marked = stored(fingerprints(docs), "fingerprints")
     groups = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    links = near_pairs(groups.select("fp"), distance, cap)
-    tied = connected_components(links).withColumnRenamed("node", "fp")
+    nodes = groups.select(F.col("fp").alias("node"), F.lit(0).cast("long").alias("rank"), "fp")
+    tied = connected_components(near_links(nodes, distance, cap=cap).select("a", "b")).withColumnRenamed("node", "fp")
     classes = groups.join(tied, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = stored(classes.join(smallest, "component").select("fp", "component_id"), "classes")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = DISTANCE, cap: int = GROUP_CAP) -> DataFrame:
-    """docs without those that have an earlier near copy: of each component the document with the smallest id stays, once."""
-    components = simhash_components(docs, distance, cap)
-    keep = components.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    # rows that share an id: the first text stays
-    from pyspark.sql import Window as W
+# --- near copies, verified
+
+
+def shingle_set(text: str, k: int = NEAR_SHINGLE) -> list[int]:
+    """Distinct 32-bit hashes of a text's k-word shingles (fewer words: the whole sequence), sorted."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= k:
+        return [xxh64_intdigest(b" ".join(words), SEED) & 0x7FFFFFFF]
+    return sorted({xxh64_intdigest(b" ".join(words[i : i + k]), SEED) & 0x7FFFFFFF for i in range(len(words) - k + 1)})
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
 
-    if kept.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    order = W.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    return kept.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
+def near_copy_classes(docs: DataFrame, similarity: float = SIMILARITY, distance: int = NEAR_DISTANCE, cap: int = GROUP_CAP) -> DataFrame:
+    """Classes of different texts that verified links join: node (the text's key), first_id, copies, keeper (the node that stays).
+
+    Candidates are texts whose SimHash fingerprints are within `distance`; of each text the nearest and the first earlier candidate are
+    verified by the Jaccard similarity of their five-word shingles. Only texts with such a link come with another keeper than themselves.
+    """
+    # one row a document: its id, its text's key and fingerprint
+    schema = struct("doc_id long, node long, fp long")
+
+    def rows(it):
+        for r in it:
+            yield r["doc_id"], r["node"], signed(fingerprint(r["text"] or ""))
+
+    marked = stored(map_rows(id_and_text(docs).withColumn("node", _text_key()), rows, schema), "fingerprints")
+    last = F.lit((1 << 63) - 1)
+    nodes = stored(marked.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).withColumn("rank", F.coalesce("first_id", last)), "nodes")
+    met = near_links(nodes.select("node", "rank", "fp"), distance, earlier=True, cap=cap)
+    two = met.groupBy("a").agg(F.min(F.struct("distance", "b_rank", "b")).alias("near"), F.min(F.struct("b_rank", "b")).alias("first"))
+    links = stored(two.select("a", F.explode(F.array_distinct(F.array("near.b", "first.b"))).alias("b")), "links")
+
+    wanted = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    texts = id_and_text(docs).select(_text_key().alias("node"), "text").join(wanted, "node", "left_semi")
+
+    def sets(it):
+        for r in it:
+            yield r["node"], shingle_set(r["text"] or "")
+
+    once = stored(map_rows(texts, sets, struct("node long, shingles array<int>")).groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    left = links.join(once.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    both = left.join(once.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    alike = both.filter(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+    classes = connected_components(alike)
+    ranked = nodes.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keeper = ranked.groupBy("component").agg(F.min(F.struct("rank", "node")).alias("k")).select("component", F.col("k.node").alias("keeper"))
+    return ranked.join(keeper, "component").select("node", "first_id", "copies", "keeper")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, distance: int = NEAR_DISTANCE, cap: int = GROUP_CAP) -> DataFrame:
+    """docs with one document of each class of near and exact copies, that with the smallest id; all its columns.
+
+    A null text counts as empty. Of rows alike in id and text the first by their other columns stays; rows without id come last, and one of them stays only if its
+    class has no id at all.
+    """
+    classes = near_copy_classes(docs, similarity, distance, cap)
+    # texts that are alone in every way need no decision; the rest is a small share of the rows
+    decided = stored(classes.filter((F.col("keeper") != F.col("node")) | (F.col("copies") > 1)).select(F.col("node").alias("n"), F.col("first_id").alias("i"), (F.col("keeper") == F.col("node")).alias("stays")), "decided")
+    keyed = docs.withColumn("text_key", _text_key())
+    joined = keyed.join(decided, keyed["text_key"] == decided["n"], "left")
+    kept = joined.filter(F.col("n").isNull() | (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("i"))))
+    # rows alike in id and text: only those of texts with copies can be
+    single = kept.filter(F.col("n").isNull())
+    several = kept.filter(F.col("n").isNotNull())
+    order = W.partitionBy("text_key").orderBy(*(c for c in docs.columns if c != "text"))
+    first = several.withColumn("row_no", F.row_number().over(order)).filter("row_no = 1")
+    return single.select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,10 +44,10 @@ def _byte_values() -> np.ndarray:
 
 def kmer_hashes(data: np.ndarray, k: int = KMER) -> np.ndarray:
     """A hash of the k bytes (k a power of two) at each position, by doubling."""
-    h, width, mul = _byte_values()[data], 1, np.uint64(0x9E3779B97F4A7C15)
+    h, width, mul = _byte_values()[data], 1, 0x9E3779B97F4A7C15
     while width < k:
-        h = h[:-width] * mul + h[width:]
-        mul = mul * mul + np.uint64(2 * width)
+        h = h[:-width] * np.uint64(mul) + h[width:]
+        mul = (mul * mul + 2 * width) % (1 << 64)
         width *= 2
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
