@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -13,27 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from strataforge.sources.work import shared_folder, work_path
+
 #: A word by ASCII white space, as Java and Python regular expressions spell it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one is set only where that is unset."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = f"file://{tempfile.mkdtemp(prefix='strataforge-')}"
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
 
@@ -43,7 +30,7 @@ def forget(*tables: DataFrame) -> None:
     for df in tables:
         spark = df.sparkSession
         jvm = spark.sparkContext._jvm
-        root = shared_dir(spark).removeprefix("file://")
+        root = shared_folder(spark).removeprefix("file://")
         parents = {f.rpartition("/")[0] for f in df.inputFiles()}
         for parent in parents:
             if root not in parent:

@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest, xxh64_intdigest
 
-from strataforge.llm.common import documents, id_and_text, map_rows, new_path, shared_dir, stored, struct
+from strataforge.llm.common import documents, id_and_text, map_rows, stored, struct
+from strataforge.sources.work import work_path
 
 LENGTH = 200
 KMER = 64
@@ -211,7 +212,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     once = texts.select(*text_keys(F.col("text")), "text").groupBy("t", "u").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     name = f"texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    once.write.bucketBy(buckets, "t", "u").option("path", new_path(spark, name)).saveAsTable(name)
+    once.write.bucketBy(buckets, "t", "u").option("path", work_path(spark, name)).saveAsTable(name)
     return spark.table(name)
 
 

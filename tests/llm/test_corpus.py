@@ -327,6 +327,17 @@ def test_compact_windows(n, least):
     assert sorted(zip(*(x.tolist() for x in passages.compact_windows(v, least)), strict=True)) == sorted(want)
 
 
+def test_similar_runs():
+    rng = random.Random(8)
+    for _ in range(20):
+        x = [rng.randrange(30) for _ in range(rng.randint(0, 60))]
+        y = [v if rng.random() < 0.9 else rng.randrange(30) for v in x]
+        good = [a for a in range(len(x) - 9) if len(set(x[a : a + 10]) & set(y[a : a + 10])) >= 0.8 * len(set(x[a : a + 10]) | set(y[a : a + 10]))]
+        got = passages.similar_runs(x, y, 10, 0.8)
+        assert [a for s, n in got for a in range(s, s + n - 9)] == good
+        assert all(s + n - 9 < t for (s, n), (t, _) in zip(got, got[1:], strict=False))
+
+
 def test_near_passages(spark, docs):
     got = {r["doc_id"]: r for r in passages.near_passages(docs).collect() if r["doc_id"] is not None}
     assert len(got) == docs.filter("doc_id is not null").select("doc_id").distinct().count()

@@ -24,7 +24,7 @@ def texts(n, seed):
 
 @pytest.fixture(scope="module")
 def odd_docs(spark):
-    rows = [(i, t, "en") for i, t in enumerate(ODD + texts(20, 1))] + [(None, "a null id", None), (3, "repeated", "en"), (3, "repeated", "en")]
+    rows = [(i, t, "en") for i, t in enumerate(ODD + texts(20, 1))] + [(None, "a null id", None), (900, "repeated", "en"), (900, "repeated", "en")]
     return spark.createDataFrame(rows, "doc_id long, text string, key string")  # `key` clashes with names used inside
 
 
@@ -238,7 +238,7 @@ def test_decoder():
         for a, b, d in zip(c, c[1:], c[2:], strict=False):
             counts[a, b, d] += 1
     model = toxicity.language_model(counts)
-    assert toxicity.restore("you 1d10t and m0r0n, tr@sh! iiidiot i d i o t m.o.r.o.n", model) == ["idiot", "moron", "trash", "idiot", "idiot", "moron"]
+    assert toxicity.restore("you 1d10t and m0r0n, tr@sh! iiidiot i d i o t then m.o.r.o.n", model) == ["idiot", "moron", "trash", "idiot", "idiot", "moron"]
     assert toxicity.restore("a clean table in the house", model) == []
     best = toxicity.decode("1d10t", model)
     assert best == "idiot"
