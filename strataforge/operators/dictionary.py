@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataforge.sources.work import shared_folder
+
 #: Below this many rows one window numbers them all; above, ranges are numbered in parallel.
 ONE_WINDOW = 50_000
 
@@ -19,6 +21,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 0,
     rows = df.count() if rows is None else rows
     if rows <= ONE_WINDOW:
         return df.withColumn(name, F.row_number().over(W.orderBy(*order)) + F.lit(start - 1)).withColumn(name, F.col(name).cast("long"))
+    shared_folder(df.sparkSession)  # checkpoints need one
     ranged = df.repartitionByRange(max(2, rows // ONE_WINDOW), *order).withColumn("range_no", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy("range_no").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("range_no", (F.sum("n").over(W.orderBy("range_no")) - F.col("n")).alias("before"))

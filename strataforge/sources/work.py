@@ -8,11 +8,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder stands in where that is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder takes its place where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='strataforge-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
