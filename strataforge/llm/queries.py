@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strataforge.llm.isomedia import op6_media_columns
+from strataforge.llm.licenses import ORACLE as LICENSE_SQL
 from strataforge.llm.licenses import op8_license_scans
 from strataforge.llm.mixing import ORACLE as MIX_SQL
 from strataforge.llm.mixing import op2_mix_sources
@@ -29,4 +30,4 @@ QUERIES = {
         op10_toxicity,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": MIX_SQL, "op8_license_scans": LICENSE_SQL}
