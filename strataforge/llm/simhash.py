@@ -38,6 +38,8 @@ VERIFY_COST = 0.02
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
 NEAR_DISTANCE = 8
+CONTENT_BYTES = 6
+LEAST_CONTENT = 8
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -272,6 +274,16 @@ def simhash_components(docs: DataFrame, distance: int = DISTANCE, cap: int = GRO
 # --- near copies, verified
 
 
+def content_fingerprint(text: str) -> int:
+    """The fingerprint of a text's longer words, one by one; of all words where it has few such.
+
+    Short words are what texts of a language share; without them unrelated texts lie far apart, and a changed word moves few bits.
+    """
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    content = [w for w in words if len(w) >= CONTENT_BYTES]
+    return fingerprint(b" ".join(content if len(content) >= LEAST_CONTENT else words).decode("utf-8", "surrogatepass"), 1)
+
+
 def shingle_set(text: str, k: int = NEAR_SHINGLE) -> list[int]:
     """Distinct 32-bit hashes of a text's k-word shingles (fewer words: the whole sequence), sorted."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -287,7 +299,7 @@ def _text_key() -> Column:
 def near_copy_classes(docs: DataFrame, similarity: float = SIMILARITY, distance: int = NEAR_DISTANCE, cap: int = GROUP_CAP) -> DataFrame:
     """Classes of different texts that verified links join: node (the text's key), first_id, copies, keeper (the node that stays).
 
-    Candidates are texts whose SimHash fingerprints are within `distance`; of each text the nearest and the first earlier candidate are
+    Candidates are texts whose content fingerprints are within `distance`; of each text the nearest and the first earlier candidate are
     verified by the Jaccard similarity of their five-word shingles. Only texts with such a link come with another keeper than themselves.
     """
     # one row a document: its id, its text's key and fingerprint
@@ -295,7 +307,7 @@ def near_copy_classes(docs: DataFrame, similarity: float = SIMILARITY, distance:
 
     def rows(it):
         for r in it:
-            yield r["doc_id"], r["node"], signed(fingerprint(r["text"] or ""))
+            yield r["doc_id"], r["node"], signed(content_fingerprint(r["text"] or ""))
 
     marked = stored(map_rows(id_and_text(docs).withColumn("node", _text_key()), rows, schema), "fingerprints")
     last = F.lit((1 << 63) - 1)
