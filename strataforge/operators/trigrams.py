@@ -33,10 +33,10 @@ def search(queries: DataFrame, index: DataFrame, ratio: float = RATIO, limit: in
 
     The hits of one query are ordered in one task; the minimum of grams shared keeps them few. A limit keeps each query's first so many.
     """
-    found = scores(queries, index)
-    best = found.withColumn("best", F.max("score").over(W.partitionBy("query")))
-    least = F.greatest(F.greatest(F.lit(1), F.col("grams") - 1).cast("double"), F.col("best") * F.lit(float(ratio)))
-    kept = best.filter(F.col("score") >= least)
+    # most entities share a few grams only: they go before anything is sorted, and the best hit is never among them if any hit is left
+    shared = scores(queries, index).filter(F.col("score") >= F.greatest(F.lit(1), F.col("grams") - 1))
+    best = shared.withColumn("best", F.max("score").over(W.partitionBy("query")))
+    kept = best.filter(F.col("score") >= F.col("best") * F.lit(float(ratio)))
     order = W.partitionBy("query").orderBy(F.col("score").desc(), "first.t", "first.seq", "id")
     placed = kept.withColumn("place", F.row_number().over(order))
     if limit is not None:
