@@ -8,6 +8,7 @@ poorly filled are dealt out once more, so what is wasted at the end of a group d
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -23,8 +24,16 @@ SEPARATOR = 0
 GROUP_PIECES = 8192
 #: Sequences below this share of SEQUENCE are opened again in the second round.
 POOR = 0.995
+#: Words whose ids a worker keeps, about 100 MB of them.
+MOST_WORDS = 500_000
 TOKENIZER_FILE = "word_bpe_49k.json"
 
+#: Letters below this are told the same by every Unicode version.
+LAST_PLAIN = "\u0250"
+#: Byte-level models spell each byte as a letter: visible ones as themselves, the others as the letters from 256 on, in order.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -42,10 +51,45 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def token_ids(text: str, path: str) -> np.ndarray:
-    """The ids of a text with the separator at the end, as unsigned 32-bit numbers."""
-    ids = _tokenizer(path).encode(text, add_special_tokens=False).ids
-    return np.array([*ids, SEPARATOR], dtype="<u4")
+class _Words(dict):
+    """Ids of words by their bytes, as little-endian 32-bit numbers; the first MOST_WORDS words met are kept.
+
+    The tokenizer never joins across white space, lower-cases letter by letter, and ends a token between a letter and the mark after it. So words can be
+    encoded one by one, in lower case, and without their full stop or comma.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word[-1:] in (b".", b",") and b"a" <= word[-2:-1] <= b"z":
+            return self[word[:-1]] + self[word[-1:]]
+        ids = np.array(self._encode(word), "<u4").tobytes()
+        if len(self) < MOST_WORDS:
+            self[word] = ids
+        return ids
+
+    def _encode(self, word: bytes) -> list[int]:
+        text = word.decode()
+        if text.isalpha() and max(text) < LAST_PLAIN and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            # a run of letters is one piece for the model, and normalising leaves it as it is
+            return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(BYTE_LETTERS))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@lru_cache(maxsize=4)
+def _words(path: str) -> _Words:
+    return _Words(path)
+
+
+def token_ids(text: str, path: str) -> bytes:
+    """The ids of a text with the separator at the end, as little-endian unsigned 32-bit numbers."""
+    if "<|" in text:  # may hold the name of a special token, which is found before anything else
+        ids = _tokenizer(path).encode(text, add_special_tokens=False).ids
+        return np.array([*ids, SEPARATOR], "<u4").tobytes()
+    words = _words(path)
+    return b"".join(map(words.__getitem__, text.encode().lower().split())) + SEPARATOR.to_bytes(4, "little")
 
 
 def pieces_of(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -64,10 +108,10 @@ def token_pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE,
         deal = 0
         for r in it:
             ids = token_ids(r["text"] or "", path)
-            for k, (a, n) in enumerate(pieces_of(len(ids), size)):
+            for k, (a, n) in enumerate(pieces_of(len(ids) // 4, size)):
                 deal += 1
-                part = ids[a : a + n]
-                yield (r["doc_id"], k, a, n, zlib.crc32(part.tobytes()), deal, *([part.tolist()] if keep_ids else []))
+                part = ids[4 * a : 4 * (a + n)]
+                yield (r["doc_id"], k, a, n, zlib.crc32(part), deal, *([np.frombuffer(part, "<u4").tolist()] if keep_ids else []))
 
     return map_rows(id_and_text(docs), rows, struct(PIECES + ", ids array<long>" * keep_ids))
 
