@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strataforge.llm.common import documents, id_and_text, map_rows, struct
 
@@ -251,4 +250,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(documents(spark, sf_dir)).select(F.col("*"))
+    return media_digests(documents(spark, sf_dir))
