@@ -34,8 +34,8 @@ STEMS = range(3, 9)
 TIMES = 3
 MOST_FEATURES = 300
 LETTERS = re.compile(r"[^\W\d_]+")
-_SIGN = re.escape("".join(SIGNS))
-DISGUISED = re.compile(rf"(?<!\S)(?=[^\s]{{3,40}}(?!\S))[\"'(]?(?=\S*[^\W\d_])(?:[^\W_]|[{_SIGN}])*[{_SIGN}](?:[^\W_]|[{_SIGN}])*(?=[\s.,;:?!\"')]|$)|\w*?([^\W\d_])\1\1\w*")
+MARKS = ".,;:?!\"'()[]"
+TRIPLE = re.compile(r"([^\W\d_])\1\1")
 APART = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*~]{1,2}[^\W_](?!\w)){3,24}")
 
 
@@ -127,9 +127,30 @@ def decode(token: str, model: np.ndarray) -> str:
     return min((cost + float(model[a, b, 0]), word) for (a, b), (cost, word) in states.items())[1]
 
 
+def drawn_out(text: str) -> bool:
+    """Whether some character of a text stands three times in a row, white space aside."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return bool(((c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]) & (c[2:] > 32)).any())
+
+
 def disguised(text: str) -> list[str]:
-    """Tokens of a text that look disguised, each once, in order of first appearance."""
-    out = dict.fromkeys(m[0].strip("\"'(") for m in DISGUISED.finditer(text) if len(m[0]) <= 60)
+    """Tokens of a text that look disguised, each once, in order of first appearance.
+
+    Those are words with signs among their letters (marks around them and runs of one sign at their end aside), words with a letter three times in a row, and
+    letters spelled apart.
+    """
+    triples = drawn_out(text)
+    out: dict[str, None] = {}
+    for w in dict.fromkeys(text.split()):
+        w = w.strip(MARKS)
+        if w.isalpha():
+            if triples and TRIPLE.search(w):
+                out[w] = None
+            continue
+        if w[-3:] == w[-1:] * 3:
+            w = w.rstrip(w[-1:])
+        if any(c in SIGNS for c in w) and all(c in SIGNS or c.isalnum() for c in w) and any(c.isalpha() for c in w):
+            out[w] = None
     out.update(dict.fromkeys(re.sub(r"[ .\-_*~]", "", m[0]) for m in APART.finditer(text)))
     return [t for t in out if 3 <= len(t) <= 60]
 
