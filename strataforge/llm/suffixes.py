@@ -316,7 +316,8 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, k: int = KMER, cap:
     Distinct texts may share windows with themselves and each other; copies of whole texts are the caller's to know.
     """
     anchors = _anchors(texts, length, k)
-    often = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    # written, so that the join has plain shuffles on both sides and an anchor that stands very often is split at run time
+    often = stored(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "repeated-anchors")
     runs = anchors.join(often, "key").select("t", "u", "key", "run")
     cut = stored(_stretches(texts, runs, length), "stretches")
     parts = stored(cut.groupBy("key", "s1", "s2", "ahead").agg(F.first("part").alias("part"), F.count(F.lit(1)).alias("n")), "distinct-stretches")
