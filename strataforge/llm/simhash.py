@@ -38,6 +38,8 @@ VERIFY_COST = 0.02
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
 NEAR_DISTANCE = 8
+#: A component of candidates with more texts than this is verified as pairs of blocks of about this size.
+VERIFY_CAP = 512
 CONTENT_BYTES = 6
 LEAST_CONTENT = 8
 
@@ -296,11 +298,59 @@ def _text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def _alike(sets: DataFrame, similarity: float, cap: int = VERIFY_CAP) -> DataFrame:
+    """Links (a, b) that connect all that pairs of the same component with this Jaccard similarity connect; sets: node, component, shingles.
+
+    Each pair is compared where its component meets, unless its two are connected there already. A component of more than `cap` is dealt out as pairs of blocks.
+    """
+    blocks = F.ceil(F.col("n") / cap).cast("int")
+    crowded = stored(sets.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap), "crowded")
+    if not crowded.isEmpty():
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.xxhash64("component", F.least(x, own), F.greatest(x, own)))
+        spread = sets.join(F.broadcast(crowded), "component", "left").withColumn("keys", F.when(F.col("n").isNull(), F.array("component")).otherwise(cells))
+        keyed = spread.select(F.explode("keys").alias("key"), "node", "shingles")
+    else:
+        keyed = sets.select(F.col("component").alias("key"), "node", "shingles")
+
+    def tied(node: list[int], held: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        size = [len(x) for x in held]
+        label = np.arange(len(node))
+        for i in range(1, len(node)):
+            for j in range(i):
+                if label[i] == label[j] or min(size[i], size[j]) < similarity * max(size[i], size[j]):
+                    continue
+                shared = len(np.intersect1d(held[i], held[j], assume_unique=True))
+                if shared >= similarity * (size[i] + size[j] - shared):
+                    label[label == label[i]] = label[j]
+                    yield node[i], node[j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, node, held, out = None, [], [], []
+        for b in batches:  # sorted by key
+            lists = b.column(2)
+            flat, edge = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+            for i, (k, x) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if k != now:
+                    out += tied(node, held)
+                    now, node, held = k, [], []
+                node.append(x)
+                held.append(flat[edge[i] : edge[i + 1]].copy())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        out += tied(node, held)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
+
+
 def near_copy_classes(docs: DataFrame, similarity: float = SIMILARITY, distance: int = NEAR_DISTANCE, cap: int = GROUP_CAP) -> DataFrame:
     """Classes of different texts that verified links join: node (the text's key), first_id, copies, keeper (the node that stays).
 
-    Candidates are texts whose content fingerprints are within `distance`; of each text the nearest and the first earlier candidate are
-    verified by the Jaccard similarity of their five-word shingles. Only texts with such a link come with another keeper than themselves.
+    Candidates are texts whose content fingerprints are within `distance`. All pairs of the texts that candidates connect count, by the Jaccard
+    similarity of their five-word shingles. Only texts with such a link come with another keeper than themselves.
     """
     # one row a document: its id, its text's key and fingerprint
     schema = struct("doc_id long, node long, fp long")
@@ -312,23 +362,16 @@ def near_copy_classes(docs: DataFrame, similarity: float = SIMILARITY, distance:
     marked = stored(map_rows(id_and_text(docs).withColumn("node", _text_key()), rows, schema), "fingerprints")
     last = F.lit((1 << 63) - 1)
     nodes = stored(marked.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).withColumn("rank", F.coalesce("first_id", last)), "nodes")
-    met = near_links(nodes.select("node", "rank", "fp"), distance, earlier=True, cap=cap)
-    two = met.groupBy("a").agg(F.min(F.struct("distance", "b_rank", "b")).alias("near"), F.min(F.struct("b_rank", "b")).alias("first"))
-    links = stored(two.select("a", F.explode(F.array_distinct(F.array("near.b", "first.b"))).alias("b")), "links")
-
-    wanted = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    texts = id_and_text(docs).select(_text_key().alias("node"), "text").join(wanted, "node", "left_semi")
+    met = near_links(nodes.select("node", "rank", "fp"), distance, cap=cap).select("a", "b")
+    wanted = stored(connected_components(met), "candidates")
+    texts = id_and_text(docs).select(_text_key().alias("node"), "text").join(wanted, "node")
 
     def sets(it):
         for r in it:
-            yield r["node"], shingle_set(r["text"] or "")
-
-    once = stored(map_rows(texts, sets, struct("node long, shingles array<int>")).groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-    left = links.join(once.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = left.join(once.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    alike = both.filter(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
-    classes = connected_components(alike)
+            yield r["node"], r["component"], shingle_set(r["text"] or "")
+
+    once = stored(map_rows(texts, sets, struct("node long, component long, shingles array<int>")).dropDuplicates(["node"]), "shingles")
+    classes = connected_components(stored(_alike(once, similarity), "alike"))
     ranked = nodes.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keeper = ranked.groupBy("component").agg(F.min(F.struct("rank", "node")).alias("k")).select("component", F.col("k.node").alias("keeper"))
     return ranked.join(keeper, "component").select("node", "first_id", "copies", "keeper")
