@@ -25,7 +25,7 @@ KINDS = ("assign", "access", "hex", "guess")
 #: A credential word, then a linking word or sign, then a value.
 CONTEXT = re.compile(
     r"""(?ai)\b(?:pass\ ?(?:word|wd|phrase|code)|pwd|secret(?:\ key)?|token|api[\ _-]?key|credentials?|private[\ _-]?key|bearer|login\ pin)["'`]?
-    \s{0,3}(?:[:=]>?|\bis\b|\bwas\b|->)\s{0,3}["'`]?([^\s"'`<>,;]{6,256})""".replace("\n", "").replace("    ", ""),
+    \s{0,3}(?:[:=]>?|\bis\b|\bwas\b|->)\s{0,3}["'`]?([^\s"'`<>,;]{6,})""".replace("\n", "").replace("    ", ""),
 )
 
 #: Common words of chosen passwords and placeholders, by rank.
@@ -44,6 +44,8 @@ ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4@8301!5$7", "aabeoiisst")
 DATE = re.compile(r"(?a)(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:0?[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:\d{4}|\d\d)")
 LEAST_COST = 8.0
+#: Walks, runs and repeats end at most so many characters after they start, or where they cannot go on.
+LONGEST_PART = 256
 
 
 def _neighbours() -> frozenset[tuple[str, str]]:
@@ -71,7 +73,7 @@ def _class_size(s: str) -> int:
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation of value needs; 0 for an empty value.
 
-    Values run to at most 256 characters here, so the quadratic number of spans stays small.
+    Exact up to LONGEST_PART characters. In longer values a walk, run or repeat is tried up to that length and in full, so the number of spans stays linear.
     """
     n = len(value)
     low = value.lower()
@@ -83,6 +85,22 @@ def guess_cost(value: str) -> float:
     def add(a: int, b: int, guesses: float) -> None:
         spans[b].append((a, math.log10(max(guesses, 1))))
 
+    def ends(a: int, b: int) -> list[int]:
+        return [*range(a + 3, min(b, a + LONGEST_PART) + 1), *([b] if b > a + LONGEST_PART else [])]
+
+    # where the walk or run from each place ends, and how many characters from it on equal those `size` later
+    walk, run = [*range(1, n + 1)], [*range(1, n + 1)]
+    same = [[0] * (n + 1) for _ in range(min(16, n // 2) + 1)]
+    step = [ord(y) - ord(x) for x, y in zip(value, value[1:])]
+    for a in range(n - 2, -1, -1):
+        if (low[a], low[a + 1]) in TOUCH:
+            walk[a] = walk[a + 1]
+        if abs(step[a]) == 1:
+            run[a] = run[a + 1] if a + 2 < n and step[a + 1] == step[a] else a + 2
+        for size in range(1, min(len(same) - 1, n - 1 - a) + 1):
+            if value[a] == value[a + size]:
+                same[size][a] = same[size][a + 1] + 1
+
     for a in range(n):
         for b in range(a + 3, min(n, a + LONGEST) + 1):
             rank = RANK.get(low[a:b]) or RANK.get(plain[a:b])
@@ -90,22 +108,17 @@ def guess_cost(value: str) -> float:
                 add(a, b, rank * (1 if value[a:b] == low[a:b] else 2) * (1 if low[a:b] in RANK else 2) * 2)
         if m := DATE.match(value, a):
             add(a, m.end(), 365 * 120 * (4 if re.search(r"[-/._]", m[0]) else 1))
-        b = a + 1
-        while b < n and (low[b - 1], low[b]) in TOUCH:
-            b += 1
-        for e in range(a + 3, b + 1):
+        for e in ends(a, walk[a]):
             add(a, e, 47 * (e - a) * 2.3**2)
-        b = a + 1
-        while b < n and abs(ord(value[b]) - ord(value[b - 1])) == 1 and (b == a + 1 or ord(value[b]) - ord(value[b - 1]) == ord(value[b - 1]) - ord(value[b - 2])):
-            b += 1
-        for e in range(a + 3, b + 1):
+        for e in ends(a, run[a]):
             add(a, e, 26 * 2 * (e - a))
         for size in range(1, min(16, (n - a) // 2) + 1):
-            unit, k = value[a : a + size], 1
-            while value.startswith(unit, a + k * size):
-                k += 1
-                if size > 1 or k > 2:
-                    spans[a + k * size].append((a, (guess_cost(unit) if size > 1 else per_char) + math.log10(k)))
+            k = 1 + same[size][a] // size
+            if k > 1 + (size == 1):
+                unit = guess_cost(value[a : a + size]) if size > 1 else per_char
+                few = min(k, max(2, LONGEST_PART // size))
+                for times in {*range(2 + (size == 1), few + 1), k}:
+                    spans[a + times * size].append((a, unit + math.log10(times)))
     best = [0.0] * (n + 1)
     for b in range(1, n + 1):
         best[b] = best[b - 1] + per_char  # a brute-force character
@@ -159,7 +172,7 @@ def secret_spans(docs: DataFrame, least: float = LEAST_COST) -> DataFrame:
     def rows(it):
         for r in it:
             text = r["text"] or ""
-            yield r["doc_id"], [{"kind": k, "start": a, "end": b, "cost": guess_cost(text[a:b][:256])} for a, b, k in find_secrets(text, least)[1]]
+            yield r["doc_id"], [{"kind": k, "start": a, "end": b, "cost": guess_cost(text[a:b])} for a, b, k in find_secrets(text, least)[1]]
 
     return map_rows(id_and_text(docs), rows, struct(SPANS))
 
