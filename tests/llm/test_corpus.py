@@ -340,13 +340,13 @@ def test_near_passages(spark, docs):
     got = {r["doc_id"]: r for r in passages.near_passages(docs).collect() if r["doc_id"] is not None}
     assert len(got) == docs.filter("doc_id is not null").select("doc_id").distinct().count()
     shared = range(49, 53)  # four documents with one passage of 70 words from word 30 on
-    assert {got[i]["class_id"] for i in shared} == {49} and all(got[i]["n_links"] >= 1 for i in shared)
+    assert {got[i]["class_id"] for i in shared} == {49} and all(got[i]["n_verified"] >= 1 for i in shared)
     for i in shared:
         (s,) = got[i]["spans"]
         assert 25 <= s["a"] <= 40 and 90 <= s["b"] <= 105
     texts = {r["doc_id"]: (r["text"] or "").split() for r in docs.collect()}
     for i in range(8, 40):  # texts of their own
-        assert got[i]["n_links"] == 0 and got[i]["class_id"] == i
+        assert got[i]["n_verified"] == 0 and got[i]["class_id"] == i
     if len(texts[0]) >= 50:
         assert got[40]["class_id"] == 0 and got[40]["n_copies"] == 3
     assert passages.near_passages(docs.limit(0)).count() == 0
