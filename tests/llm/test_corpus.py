@@ -331,7 +331,7 @@ def test_similar_runs():
         x = [rng.randrange(30) for _ in range(rng.randint(0, 60))]
         y = [v if rng.random() < 0.9 else rng.randrange(30) for v in x]
         good = [a for a in range(len(x) - 9) if len(set(x[a : a + 10]) & set(y[a : a + 10])) >= 0.8 * len(set(x[a : a + 10]) | set(y[a : a + 10]))]
-        got = passages.similar_runs(x, y, 10, 0.8)
+        got = [(int(a), int(n)) for _, a, n in zip(*passages.similar_runs(np.array(x), np.array(y), np.array([0, len(x)]), 10, 0.8), strict=True)]
         assert [a for s, n in got for a in range(s, s + n - 9)] == good
         assert all(s + n - 9 < t for (s, n), (t, _) in zip(got, got[1:], strict=False))
 
@@ -350,3 +350,15 @@ def test_near_passages(spark, docs):
     if len(texts[0]) >= 50:
         assert got[40]["class_id"] == 0 and got[40]["n_copies"] == 3
     assert passages.near_passages(docs.limit(0)).count() == 0
+
+
+def test_shingle_runs():
+    """Equal word sequences have equal hashes wherever they stand, and different ones different hashes; texts do not run into each other."""
+    texts = ["", "One two  three\tfour five six", "a b", "é two three four five six seven", "x one TWO three\nfour five six ", "abcab cab"]
+    data = [t.encode() for t in texts]
+    h, edges = passages.shingle_runs(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    want = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (t.lower().split() for t in texts)]
+    assert np.diff(edges).tolist() == [len(w) for w in want]
+    seen = dict(zip([s for w in want for s in w], h.tolist(), strict=True))
+    assert [seen[s] for w in want for s in w] == h.tolist() and len(set(seen.values())) == len(seen)
+    assert all(passages.shingles(t).tolist() == h[a:b].tolist() for t, a, b in zip(texts, edges[:-1], edges[1:], strict=True))
