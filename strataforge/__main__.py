@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib.machinery
 import importlib.util
 import json
 import os
@@ -18,6 +19,14 @@ from strataforge.plans.fields import Field
 from strataforge.plans.schema import Schema, diff_manifests
 
 
+def shadowed(out: str) -> str | None:
+    """Where a package stands that has the name of a folder of migrations, if there is one elsewhere."""
+    where = Path(out).resolve()
+    found = importlib.machinery.PathFinder.find_spec(where.name) if where.name.isidentifier() else None
+    inside = found and (found.origin is None or Path(found.origin).resolve().is_relative_to(where))
+    return found.origin if found and not inside else None
+
+
 def load_module(path: str, name: str) -> ModuleType:
     where = Path(path)
     target = where / "__init__.py" if where.is_dir() else where
@@ -135,11 +144,18 @@ def format_bytes(n: int) -> str:
 
 
 def inspect_path(path: str, as_json: bool, sort: str, top: int | None) -> None:
-    """Field sizes from the manifest of a local snapshot; no Spark session is needed."""
-    where = Path(path.removeprefix("file://")) / "manifest.json"
-    if not where.exists():
-        raise SnapshotError(f"{path} is not a snapshot.")
-    manifest = json.loads(where.read_text())
+    """Field sizes from the manifest of a snapshot. A local one needs no Spark session, any other is read through one."""
+    if "://" in path and not path.startswith("file://"):
+        from pyspark.sql import SparkSession
+
+        from strataforge.sources.snapshot import read_header
+
+        manifest = read_header(SparkSession.builder.getOrCreate(), path)
+    else:
+        where = Path(path.removeprefix("file://")) / "manifest.json"
+        if not where.exists():
+            raise SnapshotError(f"{path} is not a snapshot.")
+        manifest = json.loads(where.read_text())
     fields = manifest["fields"]
     key = {"bytes": lambda f: -f["bytes"], "name": lambda f: f["name"], "order": lambda f: 0}[sort]
     fields = sorted(fields, key=key)
@@ -182,6 +198,9 @@ def main(argv: list[str] | None = None) -> int:
         where = args.config or CONFIG_FILE
         config = json.loads(Path(where).read_text()) if os.path.exists(where) else {}
         targets = resolve_targets(config, args.schema, args.out, args.export, args.only)
+        for t in targets:
+            if hidden := shadowed(t.out):
+                print(f"Note: {t.out} has the name of a package ({hidden}); an import may find either. --out takes another folder.", file=sys.stderr)
         if args.command != "generate":
             return int(not all([status_one(t) for t in targets]))
         if len(targets) > 1 and (args.name or args.rename):

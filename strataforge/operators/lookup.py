@@ -32,17 +32,21 @@ def zero_as_one(hash64: Column) -> Column:
     return F.when(hash64 == 0, F.lit(1).cast("long")).otherwise(hash64)
 
 
-def find_raw(probe: DataFrame, index: DataFrame, key: str = "hash", value: str = "value") -> DataFrame:
-    """find() by a given 64-bit hash, never verified. index: hash, value, seq."""
-    one = first_wins(index.select(zero_as_one(F.col("hash")).alias("key"), "value", "seq"), ["key"], "value")
-    joined = probe.withColumn("slot", zero_as_one(F.col(key))).join(one.select(F.col("key").alias("slot"), F.col("value").alias(value)), "slot", "left")
-    return joined.drop("slot")
-
-
-def find_split(probe: DataFrame, index: DataFrame, low: str = "lo", high: str = "hi", value: str = "value") -> DataFrame:
+def find_raw(probe: DataFrame, index: DataFrame, key: str = "hash", value: str = "value", verify: DataFrame | None = None, text: str | None = None) -> DataFrame:
+    """find() by a given 64-bit hash. index: hash, value, seq. Hits are verified only if asked: a row counts whose string in `verify` (idx, value) is the probe's `text`."""
+    rows, on = index.select(zero_as_one(F.col("hash")).alias("slot"), "value", "seq"), ["slot"]
+    keyed = probe.withColumn("slot", zero_as_one(F.col(key)))
+    if verify is not None:
+        rows = rows.join(verify.select(F.col("idx").alias("value"), F.col("value").alias("slot_text")), "value")
+        keyed, on = keyed.withColumn("slot_text", F.col(text)), ["slot", "slot_text"]
+    one = first_wins(rows, on, "value").withColumnRenamed("value", value)
+    return keyed.join(one, on, "left").drop(*on)
+
+
+def find_split(probe: DataFrame, index: DataFrame, low: str = "lo", high: str = "hi", value: str = "value", verify: DataFrame | None = None, text: str | None = None) -> DataFrame:
     """find_raw() with the hash as two unsigned halves."""
     whole = F.shiftleft(F.col(high).cast("long"), 32).bitwiseOR(F.col(low).cast("long"))
-    return find_raw(probe.withColumn("whole_hash", whole), index, "whole_hash", value).drop("whole_hash")
+    return find_raw(probe.withColumn("whole_hash", whole), index, "whole_hash", value, verify, text).drop("whole_hash")
 
 
 def find_list(probe: DataFrame, index: DataFrame, key: str = "key", items: str = "items") -> DataFrame:
@@ -59,9 +63,9 @@ def find_pair(probe: DataFrame, index: DataFrame, a: str = "a", b: str = "b", it
 
 
 def build_sorted(entries: DataFrame) -> DataFrame:
-    """(key, value, seq) sorted by key within files, first of equal keys only; keys and values wrap modulo 2^32."""
+    """(key, value, seq) in ranges of the key, sorted within them, first of equal keys only, so that a probe can pass files over; keys and values wrap modulo 2^32."""
     wrapped = entries.select(wrapped_u32(F.col("key")).alias("key"), wrapped_u32(F.col("value")).alias("value"), "seq")
-    return wrapped.groupBy("key").agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq")).sortWithinPartitions("key")
+    return wrapped.groupBy("key").agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq")).repartitionByRange("key").sortWithinPartitions("key")
 
 
 def find_sorted(probe: DataFrame, index: DataFrame, key: str = "key", value: str = "value") -> DataFrame:

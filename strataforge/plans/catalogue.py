@@ -98,9 +98,29 @@ def single_string(spark, d):
     return built.get("last_region")
 
 
-@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents")
+@query("SELECT CAST(octet_length(encode(n_name)) AS BIGINT) AS n_bytes, hex(encode(n_name)) AS content FROM nation WHERE n_nationkey = 3")
 def raw_bytes_length(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("value")).select("doc_id", F.octet_length("value").cast("long").alias("n_bytes"))
+    value = table(spark, d, "nation").filter("n_nationkey = 3").select(F.col("n_name").cast("binary").alias("value"))
+    schema = Schema({"strings": K.string_table(), "blob": K.raw_bytes()})
+    blob = S.builder(spark, schema).put("blob", value).commit(work_path(spark, "blob")).get("blob")
+    return blob.select(F.octet_length("value").cast("long").alias("n_bytes"), F.hex("value").alias("content"))
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS a, CAST(s_nationkey AS BIGINT) AS b, CAST(s_suppkey % 100 AS BIGINT) AS x FROM supplier")
+def legacy_pair_index(spark, d):
+    s = table(spark, d, "supplier")
+    rows_ = s.select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("b"), F.struct((F.col("s_suppkey") % 100).alias("x")).alias("item"), F.col("s_suppkey").alias("seq"))
+    schema = Schema({"strings": K.string_table(), "pairs": K.field_from_signature("pairIndex:x=Uint32Array:1")})
+    pairs = S.builder(spark, schema).put("pairs", rows_).commit(work_path(spark, "legacy")).get("pairs")
+    found = lookup.find_pair(s.select(F.col("s_suppkey").cast("long").alias("a"), F.col("s_nationkey").cast("long").alias("b")), pairs)
+    return found.select("a", "b", F.col("item.x").cast("long").alias("x"))
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS idx, p_retailprice AS value FROM part")
+def untyped_read(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").alias("value"))
+    path = S.builder(spark, Schema({"strings": K.string_table(), "price": K.num_array("f64")})).put("price", p).commit(work_path(spark, "untyped")).path
+    return S.Snapshot(spark, path).get("price").select("idx", "value")
 
 
 @query("SELECT p_partkey AS idx, p_retailprice AS price, p_name AS name FROM part")
@@ -401,9 +421,12 @@ def trigram_limit(spark, d):
     return _search(spark, d, {"a": "bolt"}, limit=5)
 
 
-@query(_search_sql({"a": "ol"}, 0.7))
+@query("SELECT q.query, CAST(CASE q.query WHEN 'a' THEN 0 ELSE (SELECT count(*) FROM (" + _search_sql({"b": "ring"}, 0.7) + ")) END AS BIGINT) AS n_hits FROM (SELECT unnest(['a', 'b']) AS query) q")
 def trigram_short(spark, d):
-    return _search(spark, d, {"a": "ol"})
+    """A text shorter than a trigram has no hits, whatever is searched beside it."""
+    asked = {"a": "ol", "b": "ring"}
+    found = _search(spark, d, asked).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    return rows(spark, [(q,) for q in asked], "query string").join(found, "query", "left").select("query", F.coalesce("n", F.lit(0)).cast("long").alias("n_hits"))
 
 
 @query(_search_sql(_MANY, 0.5))
@@ -438,10 +461,12 @@ def manifest_rename_candidates(spark, d):
     return rows(spark, rename_candidates(diff_manifests(_manifest(_OLD), _manifest(_NEW))), "removed string, added string, signature string")
 
 
-@query("SELECT CAST(sum(strlen(p_name)) AS BIGINT) AS string_bytes, CAST(8 * count(*) AS BIGINT) AS price_bytes FROM part")
+@query("SELECT unnest(['name', 'price', 'strings']) AS name, true AS holds_bytes, true AS adds_up")
 def inspect_bytes(spark, d):
-    p = table(spark, d, "part")
-    return p.agg(F.sum(F.octet_length("p_name")).cast("long").alias("string_bytes"), (F.count(F.lit(1)) * K.f64().width).cast("long").alias("price_bytes"))
+    """Sizes are those of files, so only that every field has one and that the shares add up can be held against SQL."""
+    snapshot = _parts_v0(spark, d)
+    total = F.lit(float(snapshot.total_bytes))
+    return S.inspect(spark, snapshot.path).select("name", (F.col("bytes") > 0).alias("holds_bytes"), (F.abs(F.col("share") - F.col("bytes") / total) < 1e-9).alias("adds_up"))
 
 
 @query("SELECT 'name' AS name, CAST(count(*) AS BIGINT) AS n FROM part UNION ALL SELECT 'price', count(*) FROM part UNION ALL SELECT 'strings', count(DISTINCT p_name) + 1 FROM part")

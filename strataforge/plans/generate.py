@@ -123,6 +123,8 @@ def render_column(c: Column_) -> str:
 def render_field(signature: str) -> str:
     """The expression that declares a field of this signature."""
     f = field_from_signature(signature)
+    if f.legacy:  # what builders make has the current signature
+        return f"field_from_signature({json.dumps(signature)})"
     call = BUILDERS[f.kind]
     if f.kind == "num":
         return f'{call}("{ALIAS[f.columns[0][1].number.name]}")'

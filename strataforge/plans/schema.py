@@ -9,7 +9,7 @@ from functools import cached_property
 from strataforge.errors import MissingMigrationsError, SchemaDriftError, SnapshotError, UnfinishedMigrationError
 from strataforge.functions.hashing import hash64
 from strataforge.plans.fields import Field
-from strataforge.plans.migrate import Bundle, Migration, resolve_chain
+from strataforge.plans.migrate import Bundle, Migration, route
 
 #: name, signature, section count.
 Manifest = list[tuple[str, str, int]]
@@ -114,7 +114,7 @@ class Schema:
             latest = max(m.end for m in self.migrations)
             if latest != self.version:
                 raise SnapshotError(f"The last migration ends at version {latest}, but the schema is at {self.version}.")
-            resolve_chain(self.migrations, min(m.start for m in self.migrations), self.version)
+            route(self.migrations, min(m.start for m in self.migrations), self.version)
 
     def _enforce(self, bundle: Bundle) -> None:
         if not bundle.hash and not bundle.migrations:

@@ -38,9 +38,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if not fs.rename(draft, where):  # a store that does not rename over a file
-        fs.delete(where, False)
-        fs.rename(draft, where)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    # FileSystem.rename leaves it to the store whether a file may be there already; this one replaces it or fails
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, where, over)
 
 
 def resolved(spark: SparkSession, path: str) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from strataforge.errors import FormatError, SchemaMismatchError, SnapshotError
 from strataforge.functions.numbers import fitted, stored, wrapped_u32
 from strataforge.operators import dictionary
-from strataforge.operators.lookup import build_sorted, first_wins
+from strataforge.operators.lookup import build_sorted
 from strataforge.operators.trigrams import postings
 from strataforge.plans.fields import Column_, Field, field_from_signature
 from strataforge.plans.migrate import Report, migrate
@@ -27,6 +28,8 @@ from strataforge.sources import files
 
 FORMAT = 1
 MANIFEST = "manifest.json"
+#: So many fields are written at a time.
+WRITERS = 8
 
 
 @dataclass(frozen=True)
@@ -73,7 +76,7 @@ def prepared(field: Field, name: str, df: DataFrame) -> DataFrame:
             out = out.groupBy("key").agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
     elif kind == "keyedIndex":
         rows = df.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), _items(field, name).alias("items"), F.col("seq").cast("long").alias("seq"))
-        out = first_wins(rows, ["key"], "items").join(rows.groupBy("key").agg(F.min("seq").alias("seq")), "key")
+        out = rows.groupBy("key").agg(F.min_by("items", "seq").alias("items"), F.min("seq").alias("seq"))
     elif kind == "pairIndex2":
         item = F.struct(*(value_to_store(F.col("item")[n], c, f"{name}.{n}").alias(n) for n, c in field.columns))
         rows = df.select(wrapped_u32(F.col("a")).alias("a"), wrapped_u32(F.col("b")).alias("b"), item.alias("item"), F.col("seq").cast("long").alias("seq"))
@@ -162,16 +165,18 @@ class SnapshotWriter:
             entries[name] = Entry(name, field.signature, sections, where, back.count(), files.size_of(self.spark, where))
             return back
 
-        texts = []
-        for ordinal, x in enumerate(self.compiled.layout):
+        def fill(ordinal: int, x) -> DataFrame | None:
+            """Write a field, or name the files of a carried one; returns the strings it holds."""
             if x.name in self.kept:
                 entries[x.name] = self.kept[x.name]
-                if self.base is None:
-                    texts.append(strings_of(x.field, self.spark.read.schema(x.field.frame).parquet(self.kept[x.name].path), ordinal))
-            elif x.field.kind != "stringTable":
-                data = self._frame(x.name, x.field)
-                frame = prepared(x.field, x.name, data) if isinstance(self.data.get(x.name), DataFrame) else data
-                texts.append(strings_of(x.field, write(x.name, x.field, x.sections, frame), ordinal))
+                return strings_of(x.field, self.spark.read.schema(x.field.frame).parquet(self.kept[x.name].path), ordinal) if self.base is None else None
+            data = self._frame(x.name, x.field)
+            frame = prepared(x.field, x.name, data) if isinstance(self.data.get(x.name), DataFrame) else data
+            return strings_of(x.field, write(x.name, x.field, x.sections, frame), ordinal)
+
+        # fields do not depend on each other, so their jobs run side by side
+        with ThreadPoolExecutor(WRITERS) as pool:
+            texts = list(pool.map(lambda ix: fill(*ix), [(i, x) for i, x in enumerate(self.compiled.layout) if x.field.kind != "stringTable"]))
         table = next(x for x in self.compiled.layout if x.field.kind == "stringTable")
         found = [t for t in texts if t is not None]
         strings = reduce(DataFrame.unionByName, found) if found else None

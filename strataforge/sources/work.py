@@ -7,11 +7,15 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from strataforge.errors import SnapshotError
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder takes its place where that is unset."""
+    """spark.checkpoint.dir; where that is unset a temporary folder takes its place, but only if driver and executors are one machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SnapshotError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share.")
         base = f"file://{tempfile.mkdtemp(prefix='strataforge-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)

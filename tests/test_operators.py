@@ -114,3 +114,12 @@ def test_search_model(spark, names, text, ratio, limit):
     index = trigrams.postings(spark.createDataFrame([(i, n, s) for s, (i, n) in enumerate(names)], "id long, name string, seq long"))
     got = trigrams.search(spark.createDataFrame([("q", text)], "query string, text string"), index, ratio, limit).orderBy("place").collect()
     assert [(r["id"], r["score"]) for r in got] == model_search(names, text, ratio, limit)
+
+
+def test_split_lookup_verifies_if_asked(spark):
+    index = spark.createDataFrame([(7, 0, 0), (7, 1, 1), (0, 2, 2)], "hash long, value long, seq long")
+    names = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "idx long, value string")
+    probe = spark.createDataFrame([(7, 0, "b"), (7, 0, "z"), (1, 0, "c")], "lo long, hi long, name string")
+    got = {r["name"]: r["value"] for r in lookup.find_split(probe, index, verify=names, text="name").collect()}
+    assert got == {"b": 1, "z": None, "c": 2}
+    assert [r["value"] for r in lookup.find_split(probe.limit(1), index).collect()] == [0]

@@ -129,3 +129,39 @@ def test_inspect(spark, capsys):
     assert main(["inspect", path, "--top", "1"]) == 0 and "more" in capsys.readouterr().out
     assert main(["inspect", path, "--json", "--sort", "name"]) == 0 and '"version": 0' in capsys.readouterr().out
     assert format_bytes(10) == "10 B" and format_bytes(1792) == "1.75 KiB" and format_bytes(50 * 2**20) == "50.0 MiB"
+
+
+def test_legacy_pairs_keep_their_signature():
+    from strataforge.plans import fields as K
+    from strataforge.plans.generate import render_field
+
+    signature = "pairIndex:x=Uint32Array:1"
+    assert eval(render_field(signature), vars(K)).signature == signature
+    assert eval(render_field("pairIndex2:x=Uint32Array:1"), vars(K)).signature == "pairIndex2:x=Uint32Array:1"
+
+
+def test_shadowed(tmp_path, monkeypatch):
+    from strataforge.__main__ import shadowed
+
+    assert shadowed(str(tmp_path / "json")) and not shadowed(str(tmp_path / "moves_of_mine"))
+
+
+def test_replace_is_one_step(spark, tmp_path):
+    from strataforge.sources import files
+
+    path = f"file://{tmp_path}/x.json"
+    for text in ("one", "two"):
+        files.write_text(spark, path, text)
+        assert files.read_text(spark, path) == text
+    assert not files.exists(spark, f"{path}.draft")
+
+
+def test_shared_folder_must_be_named(monkeypatch):
+    from types import SimpleNamespace
+
+    from strataforge.sources import work
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(SnapshotError):
+        work.shared_folder(session)
