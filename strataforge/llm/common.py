@@ -82,6 +82,23 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until df has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame, *but: str) -> list[Column]:
+    """df's columns (but for some), whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in but]
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers started from now on find this package where the driver found it, unless they are told otherwise already."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

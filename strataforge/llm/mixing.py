@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataforge.llm.common import WORD, documents, stored
+from strataforge.llm.common import WORD, columns_of, documents, fresh, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -31,9 +31,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD + "+")), F.lit(0)).cast("long")
 
 
-def mix_key(doc_id: Column) -> Column:
-    """60 bits of the id's MD5, the same in every run and every engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
+def mix_key(doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of id and text, the same in every run and every engine. Rows of one id differ by their texts."""
+    of = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(of.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = MOST_REPEATS) -> DataFrame:
@@ -61,12 +62,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     """One row a document: doc_id, source, size, source_size, target, taken, epochs, mix_key, words_before and the columns in `extra`.
 
     taken: whole epochs of the document plus what the source's cut leaves of it, in words. Null text has size 0; null sources form
-    one source; documents with equal keys stand in order of id and size; repeated rows are taken one after another; an empty table gives no rows.
+    one source; documents with equal keys stand in order of id and size; repeated rows are taken one after another; texts of any length are counted whole; an empty table
+    gives no rows.
     Other columns are not read unless named in `extra`.
     """
     slim = stored(
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), mix_key(F.col("doc_id").cast("long")).alias("mix_key"), *extra
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), mix_key(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("mix_key"), *extra
         ),
         "mix-sizes",
     )
@@ -99,23 +101,24 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs as the mix takes them: each whole epoch of a document is a row, and the one at its source's cut ends at its last word taken.
+    """docs as the mix takes them: each whole epoch of a document is a row, and the one at its source's cut ends at its last word taken. All columns, of whatever names and types.
 
-    Documents are matched with their share by id and text, so repeated rows each get what one of them was given.
+    Rows are numbered and written first, so each repeated row gets its own share and the rows' words are exactly those of the mix. Documents without words are in no mix; an
+    empty table gives no rows.
     """
-    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("source"), F.lit("")))
-    mix = mix_sources(docs.select("doc_id", "source", "text", digest.alias("mix_digest")), extra=("mix_digest",), **how)
-    share = mix.groupBy("doc_id", "mix_digest").agg(F.max("taken").alias("mix_taken"), F.max("size").alias("mix_size")).filter("mix_taken > 0").withColumnRenamed("doc_id", "mix_id")
-    keyed = docs.withColumn("mix_digest", digest)
-    got = keyed.join(share, keyed["doc_id"].eqNullSafe(share["mix_id"]) & (keyed["mix_digest"] == share["mix_digest"])).drop(share["mix_digest"])
-    rest = F.col("mix_taken") % F.col("mix_size")
-    parts = F.concat(F.array_repeat(F.col("mix_size"), F.floor(F.col("mix_taken") / F.col("mix_size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    rows = got.withColumn("mix_words", F.explode(parts))
-    text = F.when(F.col("mix_words") == F.col("mix_size"), F.col("text")).otherwise(first_words(F.col("text"), F.col("mix_words")))
+    row, taken, size, words = fresh(docs, "mix_row", "mix_taken", "mix_size", "mix_words")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    mix = mix_sources(numbered.select("doc_id", "source", "text", row), extra=(row,), **how)
+    share = mix.filter("taken > 0").select(row, F.col("taken").alias(taken), F.col("size").alias(size))
+    got = numbered.join(share, row)
+    rest = F.col(taken) % F.col(size)
+    parts = F.concat(F.array_repeat(F.col(size), F.floor(F.col(taken) / F.col(size)).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    rows = got.withColumn(words, F.explode(parts))
+    text = F.when(F.col(words) == F.col(size), F.col("text")).otherwise(first_words(F.col("text"), F.col(words)))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*columns_of(docs))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +128,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS mix_key
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS mix_key
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),

@@ -9,8 +9,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from functools import lru_cache
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +39,14 @@ COMMON = (
     "for with this that from house mouse green black white orange purple silver golden happy lucky charlie thomas jordan "
     "george andrew daniel robert jessica ashley hunter killer pepper ginger cookie cheese flower secure change"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
 #: Rows of a common keyboard.
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4@8301!5$7", "aabeoiisst")
 DATE = re.compile(r"(?a)(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:0?[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:\d{4}|\d\d)")
 LEAST_COST = 8.0
+#: Words that the corpus adds to the dictionary: so many at most, of letters, each in so many documents.
+VOCABULARY, LEAST_TEXTS = 20_000, 5
+LETTERS = re.compile(r"[^\W\d_]{3,}")
 #: Walks, runs and repeats end at most so many characters after they start, or where they cannot go on.
 LONGEST_PART = 256
 
@@ -69,62 +72,93 @@ def _class_size(s: str) -> int:
     return 10 * any(c.isdigit() for c in s) + 26 * any("a" <= c <= "z" for c in s) + 26 * any("A" <= c <= "Z" for c in s) + 33 * any(not c.isalnum() for c in s) + 100 * (not s.isascii()) or 1
 
 
-@lru_cache(maxsize=4096)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of value needs; 0 for an empty value.
-
-    Exact up to LONGEST_PART characters. In longer values a walk, run or repeat is tried up to that length and in full, so the number of spans stays linear.
-    """
-    n = len(value)
-    low = value.lower()
-    plain = low.translate(LEET) if len(low) == n else low
-    low = low if len(low) == n else value
-    per_char = math.log10(_class_size(value))
-    spans: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-
-    def add(a: int, b: int, guesses: float) -> None:
-        spans[b].append((a, math.log10(max(guesses, 1))))
-
-    def ends(a: int, b: int) -> list[int]:
-        return [*range(a + 3, min(b, a + LONGEST_PART) + 1), *([b] if b > a + LONGEST_PART else [])]
-
-    # where the walk or run from each place ends, and how many characters from it on equal those `size` later
-    walk, run = [*range(1, n + 1)], [*range(1, n + 1)]
-    same = [[0] * (n + 1) for _ in range(min(16, n // 2) + 1)]
-    step = [ord(y) - ord(x) for x, y in zip(value, value[1:])]
-    for a in range(n - 2, -1, -1):
-        if (low[a], low[a + 1]) in TOUCH:
-            walk[a] = walk[a + 1]
-        if abs(step[a]) == 1:
-            run[a] = run[a + 1] if a + 2 < n and step[a + 1] == step[a] else a + 2
-        for size in range(1, min(len(same) - 1, n - 1 - a) + 1):
-            if value[a] == value[a + size]:
-                same[size][a] = same[size][a + 1] + 1
-
-    for a in range(n):
-        for b in range(a + 3, min(n, a + LONGEST) + 1):
-            rank = RANK.get(low[a:b]) or RANK.get(plain[a:b])
-            if rank:
-                add(a, b, rank * (1 if value[a:b] == low[a:b] else 2) * (1 if low[a:b] in RANK else 2) * 2)
-        if m := DATE.match(value, a):
-            add(a, m.end(), 365 * 120 * (4 if re.search(r"[-/._]", m[0]) else 1))
-        for e in ends(a, walk[a]):
-            add(a, e, 47 * (e - a) * 2.3**2)
-        for e in ends(a, run[a]):
-            add(a, e, 26 * 2 * (e - a))
-        for size in range(1, min(16, (n - a) // 2) + 1):
-            k = 1 + same[size][a] // size
-            if k > 1 + (size == 1):
-                unit = guess_cost(value[a : a + size]) if size > 1 else per_char
-                few = min(k, max(2, LONGEST_PART // size))
-                for times in {*range(2 + (size == 1), few + 1), k}:
-                    spans[a + times * size].append((a, unit + math.log10(times)))
-    best = [0.0] * (n + 1)
-    for b in range(1, n + 1):
-        best[b] = best[b - 1] + per_char  # a brute-force character
-        for a, cost in spans[b]:
-            best[b] = min(best[b], best[a] + cost + 0.3)  # which pattern stands here is itself a guess
-    return best[n]
+class Guesser:
+    """Guess costs under a dictionary of words, the likeliest first."""
+
+    def __init__(self, words: Iterable[str] = COMMON) -> None:
+        self.rank: dict[str, int] = {}
+        for w in words:
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank), default=0)
+        self.known: dict[str, float] = {}
+
+    def cost(self, value: str) -> float:
+        """log10 of the guesses that the cheapest segmentation of value needs; 0 for an empty value.
+
+        Walks, runs and repeats are tried at every length up to LONGEST_PART and in full, so the number of spans stays linear in a value of any length.
+        """
+        if value not in self.known:
+            if len(self.known) >= 4096:
+                self.known.clear()
+            self.known[value] = self._cost(value)
+        return self.known[value]
+
+    def _cost(self, value: str) -> float:
+        n = len(value)
+        low = value.lower()
+        plain = low.translate(LEET) if len(low) == n else low
+        low = low if len(low) == n else value
+        per_char = math.log10(_class_size(value))
+        spans: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+
+        def add(a: int, b: int, guesses: float) -> None:
+            spans[b].append((a, math.log10(max(guesses, 1))))
+
+        def ends(a: int, b: int) -> list[int]:
+            return [*range(a + 3, min(b, a + LONGEST_PART) + 1), *([b] if b > a + LONGEST_PART else [])]
+
+        # where the walk or run from each place ends
+        walk, run = [*range(1, n + 1)], [*range(1, n + 1)]
+        step = [ord(y) - ord(x) for x, y in zip(value, value[1:])]
+        for a in range(n - 2, -1, -1):
+            if (low[a], low[a + 1]) in TOUCH:
+                walk[a] = walk[a + 1]
+            if abs(step[a]) == 1:
+                run[a] = run[a + 1] if a + 2 < n and step[a + 1] == step[a] else a + 2
+        for a in range(n):
+            for b in range(a + 3, min(n, a + self.longest) + 1):
+                rank = self.rank.get(low[a:b]) or self.rank.get(plain[a:b])
+                if rank:
+                    add(a, b, rank * (1 if value[a:b] == low[a:b] else 2) * (1 if low[a:b] in self.rank else 2) * 2)
+            if m := DATE.match(value, a):
+                add(a, m.end(), 365 * 120 * (4 if re.search(r"[-/._]", m[0]) else 1))
+            for e in ends(a, walk[a]):
+                add(a, e, 47 * (e - a) * 2.3**2)
+            for e in ends(a, run[a]):
+                add(a, e, 26 * 2 * (e - a))
+        for size, a, k in self._repeats(value):
+            unit = self.cost(value[a : a + size]) if size > 1 else per_char
+            few = min(k, max(2, LONGEST_PART // size))
+            for times in {*range(2 + (size == 1), few + 1), k}:
+                spans[a + times * size].append((a, unit + math.log10(times)))
+        best = [0.0] * (n + 1)
+        for b in range(1, n + 1):
+            best[b] = best[b - 1] + per_char  # a brute-force character
+            for a, cost in spans[b]:
+                best[b] = min(best[b], best[a] + cost + 0.3)  # which pattern stands here is itself a guess
+        return best[n]
+
+    @staticmethod
+    def _repeats(value: str) -> Iterator[tuple[int, int, int]]:
+        """(size, start, times) of every unit of up to half the value, LONGEST_PART characters at most, that is repeated from its start on and no repeat of a shorter one."""
+        codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+        covered = np.zeros(len(codes), np.int64)  # where the repeats of shorter units end
+        for size in range(1, min(LONGEST_PART, len(codes) // 2) + 1):
+            same = codes[:-size] == codes[size:]
+            if not same.any():
+                continue
+            # how many characters from each place on equal those `size` later
+            at = np.arange(len(same))
+            stop = np.minimum.accumulate(np.where(same, len(same), at)[::-1])[::-1]
+            length = stop - at
+            new = (length >= size * (1 + (size == 1))) & (covered[: len(at)] < at + 2 * size)
+            for a in np.flatnonzero(new).tolist():
+                yield size, a, 1 + int(length[a]) // size
+            covered[: len(at)] = np.maximum(covered[: len(at)], np.where(new, at + size + length, 0))
+
+
+DEFAULT = Guesser()
+guess_cost = DEFAULT.cost
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -136,23 +170,42 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def added_spans(text: str, base: list[tuple[int, int, str]], least: float = LEAST_COST) -> list[tuple[int, int, str]]:
+def added_spans(text: str, base: list[tuple[int, int, str]], least: float = LEAST_COST, guesser: Guesser = DEFAULT) -> list[tuple[int, int, str]]:
     """Values in a credential context whose guess cost is `least` or more and that no base span covers."""
     out = []
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
         value = m[1].rstrip(".!?:)]}")
         b = a + len(value)
-        mixed = any(c.isdigit() for c in value) or len({c.isupper() for c in value if c.isalpha()}) > 1 and not value.istitle()
-        if len(value) >= 6 and mixed and not any(s <= a and b <= e for s, e, _ in base) and guess_cost(value) >= least:
+        if len(value) >= 6 and not any(s <= a and b <= e for s, e, _ in base) and guesser.cost(value) >= least:
             out.append((a, b, "guess"))
     return out
 
 
-def find_secrets(text: str, least: float = LEAST_COST) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def find_secrets(text: str, least: float = LEAST_COST, guesser: Guesser = DEFAULT) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans), each by start and then kind."""
     base = base_spans(text)
-    return base, sorted(base + added_spans(text, base, least), key=lambda s: (s[0], KINDS.index(s[2])))
+    return base, sorted(base + added_spans(text, base, least, guesser), key=lambda s: (s[0], KINDS.index(s[2])))
+
+
+def corpus_guesser(docs: DataFrame, size: int = VOCABULARY, least: int = LEAST_TEXTS) -> Guesser:
+    """A guesser that knows the common words and the `size` words that most documents hold outside of credential contexts, `least` documents or more.
+
+    Ordinary words that follow "password is" are cheap to guess that way. Counted over all documents; at most `size` words reach the driver.
+    """
+
+    def rows(it):
+        total: Counter = Counter()
+        for r in it:
+            total.update(set(LETTERS.findall(CONTEXT.sub(" ", r["text"] or "").lower())))
+            if len(total) > 1 << 18:
+                yield from total.items()
+                total.clear()
+        yield from total.items()
+
+    counts = map_rows(id_and_text(docs).select("text"), rows, struct("word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "word").limit(size).collect()
+    return Guesser([*COMMON, *(r["word"] for r in found)])
 
 
 def _joined(spans) -> str:
@@ -166,33 +219,36 @@ DIGESTS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 st
 def secret_spans(docs: DataFrame, least: float = LEAST_COST) -> DataFrame:
     """The spans of each document with their kinds and guess costs.
 
-    Null or empty text: no spans. Repeated rows give repeated results; null ids stay; other columns are not read.
+    Null or empty text: no spans; values of any length are taken whole. Repeated rows give repeated results; null ids stay; an empty table gives no rows; other columns, whatever
+    their names, are not read.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(corpus_guesser(docs))  # VOCABULARY words at most
 
     def rows(it):
         for r in it:
             text = r["text"] or ""
-            yield r["doc_id"], [{"kind": k, "start": a, "end": b, "cost": guess_cost(text[a:b])} for a, b, k in find_secrets(text, least)[1]]
+            yield r["doc_id"], [{"kind": k, "start": a, "end": b, "cost": sent.value.cost(text[a:b])} for a, b, k in find_secrets(text, least, sent.value)[1]]
 
     return map_rows(id_and_text(docs), rows, struct(SPANS))
 
 
 def secret_digests(docs: DataFrame, least: float = LEAST_COST) -> DataFrame:
-    """Counts by kind, a hash of the base spans and all spans as text, one row a document; nothing is shuffled."""
+    """Counts by kind, a hash of the base spans and all spans as text, one row a document."""
+    sent = docs.sparkSession.sparkContext.broadcast(corpus_guesser(docs))
 
     def rows(it):
         for r in it:
-            base, both = find_secrets(r["text"] or "", least)
+            base, both = find_secrets(r["text"] or "", least, sent.value)
             kinds = [k for *_, k in both]
             yield r["doc_id"], *(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(both), kinds.count("guess")
 
     return map_rows(id_and_text(docs), rows, struct(DIGESTS))
 
 
-def masked(text: str, mark: str = "[secret]", least: float = LEAST_COST) -> str:
+def masked(text: str, mark: str = "[secret]", least: float = LEAST_COST, guesser: Guesser = DEFAULT) -> str:
     """text with each run of overlapping spans replaced by mark."""
     out, at = [], 0
-    spans = [(a, b) for a, b, _ in find_secrets(text, least)[1]]
+    spans = [(a, b) for a, b, _ in find_secrets(text, least, guesser)[1]]
     runs: list[list[int]] = []
     for a, b in sorted(spans):
         if runs and a < runs[-1][1]:
@@ -206,11 +262,16 @@ def masked(text: str, mark: str = "[secret]", least: float = LEAST_COST) -> str:
 
 
 def mask_secrets(docs: DataFrame, least: float = LEAST_COST) -> DataFrame:
-    """docs with secrets masked in `text`; n_chars follows where there is such a column. Null text stays null; every row stays."""
+    """docs with secrets masked in `text`; n_chars follows where there is such a column.
+
+    Every row stays, repeated ones and those with null ids too; null text stays null and empty text empty; texts and values of any length are masked whole; other columns, of whatever
+    names and types, stay as they are; an empty table gives no rows.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(corpus_guesser(docs))
 
     @F.pandas_udf("string")
     def mask(texts):
-        return texts.map(lambda t: t if t is None else masked(t, least=least))
+        return texts.map(lambda t: t if t is None else masked(t, least=least, guesser=sent.value))
 
     out = docs.withColumn("text", mask(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

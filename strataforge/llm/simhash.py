@@ -6,7 +6,7 @@ thresholds come from a dynamic programme over probes and estimated candidates, b
 
 Two values at t bits or less from each other lie t / 2 bits (rounded up) or less from a common point, so both sides visit the points around
 their own part of the bits, and those that meet at a point are verified on all bits, block by block where they meet. No list of pairs is
-made: what leaves a point is a spanning forest, or the nearest and the first neighbour of each. A point where very many meet is dealt out as pairs of blocks.
+made: what leaves a point is a spanning forest. A point where very many meet is dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from strataforge.llm.common import documents, id_and_text, map_rows, stored, struct
+from strataforge.llm.common import columns_of, documents, forget, fresh, id_and_text, map_rows, stored, struct, text_keys
 from strataforge.llm.graph import connected_components
 
 BITS = 64
@@ -176,7 +176,7 @@ def plan(fps: DataFrame, distance: int = DISTANCE, most: int = 4) -> list[tuple[
     return [(p, t) for p, t in zip(ps, thresholds, strict=True) if t >= 0]
 
 
-def _forest(fp: np.ndarray, rank: np.ndarray, node: np.ndarray, distance: int) -> list[tuple]:
+def _forest(fp: np.ndarray, node: np.ndarray, distance: int) -> list[tuple]:
     """Each member of a component within the distance, tied to the component's first member."""
     label = np.arange(len(fp))
     while True:
@@ -189,48 +189,28 @@ def _forest(fp: np.ndarray, rank: np.ndarray, node: np.ndarray, distance: int) -
             break
         label = new
     tied = np.flatnonzero(label != np.arange(len(fp)))
-    return [(node[i], node[label[i]], 0, rank[label[i]]) for i in tied]
-
-
-def _earlier(fp: np.ndarray, rank: np.ndarray, node: np.ndarray, distance: int) -> list[tuple]:
-    """For each member its nearest and its first neighbour among those before it (by rank, then node)."""
-    out = []
-    order = np.lexsort([node, rank])
-    fp, rank, node = fp[order], rank[order], node[order]
-    for a in range(0, len(fp), 1024):
-        d = np.bitwise_count(fp[a : a + 1024, None] ^ fp[None, :]).astype(np.int16)
-        d[np.arange(len(fp))[None, :] >= np.arange(a, a + len(d))[:, None]] = BITS + 1
-        near, first = d.argmin(axis=1), (d <= distance).argmax(axis=1)
-        for i in np.flatnonzero(d.min(axis=1) <= distance):
-            for j in {near[i], first[i]}:
-                out.append((node[a + i], node[j], int(d[i, j]), rank[j]))
-    return out
-
+    return [(node[i], node[label[i]]) for i in tied]
 
-LINKS = "a long, b long, distance int, b_rank long"
 
+LINKS = "a long, b long"
 
-def near_links(nodes: DataFrame, distance: int = DISTANCE, earlier: bool = False, cap: int = GROUP_CAP, chosen: list[tuple[list[int], int]] | None = None) -> DataFrame:
-    """Links between nodes (node, rank, fp: long) whose fingerprints are within the distance.
 
-    By default a forest that connects all that such pairs connect; with `earlier`, real pairs: of each node with the nearest and the first of
-    its neighbours that come before it by rank, wherever they meet.
-    """
+def near_links(nodes: DataFrame, distance: int = DISTANCE, cap: int = GROUP_CAP, chosen: list[tuple[list[int], int]] | None = None) -> DataFrame:
+    """Links between nodes (node, fp: long): a forest that connects all that pairs of fingerprints within the distance connect."""
     chosen = chosen or plan(nodes.select("fp").distinct(), distance)
 
     def visits(i: int, bits: list[int], t: int) -> Column:
         base = F.col("fp").bitwiseAND(F.lit(mask(bits)))
         return F.array(*(F.xxhash64(F.lit(i), base.bitwiseXOR(F.lit(x))) for x in _ball(bits, t)))
 
-    keyed = nodes.select("node", "rank", "fp", F.explode(F.concat(*(visits(i, bits, t) for i, (bits, t) in enumerate(chosen)))).alias("key"))
+    keyed = nodes.select("node", "fp", F.explode(F.concat(*(visits(i, bits, t) for i, (bits, t) in enumerate(chosen)))).alias("key"))
     crowded = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap), "crowded")
     if not crowded.isEmpty():
         blocks = F.ceil(F.col("n") / cap).cast("int")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
         cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.xxhash64("key", F.least(x, own), F.greatest(x, own)))
         spread = keyed.join(crowded, "key", "left").withColumn("keys", F.when(F.col("n").isNull(), F.array("key")).otherwise(cells))
-        keyed = spread.select("node", "rank", "fp", F.explode("keys").alias("key"))
-    tie = _earlier if earlier else _forest
+        keyed = spread.select("node", "fp", F.explode("keys").alias("key"))
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -244,14 +224,14 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, earlier: bool = False
             yield links(held)
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, node, rank, fp = (pdf[c].to_numpy() for c in ("key", "node", "rank", "fp"))
+        key, node, fp = (pdf[c].to_numpy() for c in ("key", "node", "fp"))
         fp = fp.view(np.uint64) if len(fp) else fp
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
         out: list[tuple] = []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             if b - a > 1:
-                out += tie(fp[a:b], rank[a:b], node[a:b], distance)
-        return pd.DataFrame(out, columns=["a", "b", "distance", "b_rank"])
+                out += _forest(fp[a:b], node[a:b], distance)
+        return pd.DataFrame(out, columns=["a", "b"])
 
     dealt = keyed.repartition("key").sortWithinPartitions("key")
     return dealt.mapInPandas(run, struct(LINKS))
@@ -265,7 +245,7 @@ def simhash_components(docs: DataFrame, distance: int = DISTANCE, cap: int = GRO
     """
     marked = stored(fingerprints(docs), "fingerprints")
     groups = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    nodes = groups.select(F.col("fp").alias("node"), F.lit(0).cast("long").alias("rank"), "fp")
+    nodes = groups.select(F.col("fp").alias("node"), "fp")
     tied = connected_components(near_links(nodes, distance, cap=cap).select("a", "b")).withColumnRenamed("node", "fp")
     classes = groups.join(tied, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -294,10 +274,6 @@ def shingle_set(text: str, k: int = NEAR_SHINGLE) -> list[int]:
     return sorted({xxh64_intdigest(b" ".join(words[i : i + k]), SEED) & 0x7FFFFFFF for i in range(len(words) - k + 1)})
 
 
-def _text_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
 def _alike(sets: DataFrame, similarity: float, cap: int = VERIFY_CAP) -> DataFrame:
     """Links (a, b) that connect all that pairs of the same component with this Jaccard similarity connect; sets: node, component, shingles.
 
@@ -347,54 +323,57 @@ def _alike(sets: DataFrame, similarity: float, cap: int = VERIFY_CAP) -> DataFra
 
 
 def near_copy_classes(docs: DataFrame, similarity: float = SIMILARITY, distance: int = NEAR_DISTANCE, cap: int = GROUP_CAP) -> DataFrame:
-    """Classes of different texts that verified links join: node (the text's key), first_id, copies, keeper (the node that stays).
+    """Classes of different texts that verified links join, one row a text: k1, k2 (the text's 128 bits), node (its number), first_id, copies, keeper (the node that stays).
 
     Candidates are texts whose content fingerprints are within `distance`. All pairs of the texts that candidates connect count, by the Jaccard
     similarity of their five-word shingles. Only texts with such a link come with another keeper than themselves.
     """
-    # one row a document: its id, its text's key and fingerprint
-    schema = struct("doc_id long, node long, fp long")
 
     def rows(it):
         for r in it:
-            yield r["doc_id"], r["node"], signed(content_fingerprint(r["text"] or ""))
+            yield r["doc_id"], r["k1"], r["k2"], signed(content_fingerprint(r["text"] or ""))
 
-    marked = stored(map_rows(id_and_text(docs).withColumn("node", _text_key()), rows, schema), "fingerprints")
-    last = F.lit((1 << 63) - 1)
-    nodes = stored(marked.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).withColumn("rank", F.coalesce("first_id", last)), "nodes")
-    met = near_links(nodes.select("node", "rank", "fp"), distance, cap=cap).select("a", "b")
-    wanted = stored(connected_components(met), "candidates")
-    texts = id_and_text(docs).select(_text_key().alias("node"), "text").join(wanted, "node")
+    keys = text_keys(F.coalesce("text", F.lit("")))
+    marked = stored(map_rows(id_and_text(docs).select("doc_id", *keys, "text"), rows, struct("doc_id long, k1 long, k2 long, fp long")), "fingerprints")
+    once = marked.groupBy("k1", "k2").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    # the number is fixed once it is written
+    nodes = stored(once.withColumn("rank", F.coalesce("first_id", F.lit((1 << 63) - 1))).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    forget(marked)
+    wanted = stored(nodes.join(connected_components(near_links(nodes.select("node", "fp"), distance, cap=cap)), "node").select("k1", "k2", "node", "component"), "candidates")
+    texts = id_and_text(docs).select(*keys, "text").join(wanted, ["k1", "k2"])
 
     def sets(it):
         for r in it:
             yield r["node"], r["component"], shingle_set(r["text"] or "")
 
-    once = stored(map_rows(texts, sets, struct("node long, component long, shingles array<int>")).dropDuplicates(["node"]), "shingles")
-    classes = connected_components(stored(_alike(once, similarity), "alike"))
+    shingled = stored(map_rows(texts.select("node", "component", "text"), sets, struct("node long, component long, shingles array<int>")).dropDuplicates(["node"]), "shingles")
+    alike = stored(_alike(shingled, similarity), "alike")
+    forget(wanted, shingled)
+    classes = connected_components(alike)
     ranked = nodes.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keeper = ranked.groupBy("component").agg(F.min(F.struct("rank", "node")).alias("k")).select("component", F.col("k.node").alias("keeper"))
-    return ranked.join(keeper, "component").select("node", "first_id", "copies", "keeper")
+    return ranked.join(keeper, "component").select("k1", "k2", "node", "first_id", "copies", "keeper")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, distance: int = NEAR_DISTANCE, cap: int = GROUP_CAP) -> DataFrame:
-    """docs with one document of each class of near and exact copies, that with the smallest id; all its columns.
+    """docs with one document of each class of near and exact copies, that with the smallest id; all its columns, of whatever names and types.
 
-    A null text counts as empty. Of rows alike in id and text the first by their other columns stays; rows without id come last, and one of them stays only if its
-    class has no id at all.
+    A null text counts as empty; texts of any length are compared whole. Of rows alike in id and text the first by their other columns, written as JSON, stays; rows without id come
+    last, and one of them stays only if its class has no id at all. An empty table gives no rows.
     """
     classes = near_copy_classes(docs, similarity, distance, cap)
+    k1, k2, first, stays, place = fresh(docs, "text_key_1", "text_key_2", "first_id", "stays", "place")
     # texts that are alone in every way need no decision; the rest is a small share of the rows
-    decided = stored(classes.filter((F.col("keeper") != F.col("node")) | (F.col("copies") > 1)).select(F.col("node").alias("n"), F.col("first_id").alias("i"), (F.col("keeper") == F.col("node")).alias("stays")), "decided")
-    keyed = docs.withColumn("text_key", _text_key())
-    joined = keyed.join(decided, keyed["text_key"] == decided["n"], "left")
-    kept = joined.filter(F.col("n").isNull() | (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("i"))))
+    told = classes.filter((F.col("keeper") != F.col("node")) | (F.col("copies") > 1))
+    decided = stored(told.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("first_id").alias(first), (F.col("keeper") == F.col("node")).alias(stays)), "decided")
+    keyed = docs.withColumns(dict(zip((k1, k2), text_keys(F.coalesce(F.col("text").cast("string"), F.lit(""))), strict=True)))
+    joined = keyed.join(decided, [k1, k2], "left")
+    single = joined.filter(F.col(stays).isNull())
+    several = joined.filter(F.col(stays) & F.col("doc_id").cast("long").eqNullSafe(F.col(first)))
     # rows alike in id and text: only those of texts with copies can be
-    single = kept.filter(F.col("n").isNull())
-    several = kept.filter(F.col("n").isNotNull())
-    order = W.partitionBy("text_key").orderBy(*(c for c in docs.columns if c != "text"))
-    first = several.withColumn("row_no", F.row_number().over(order)).filter("row_no = 1")
-    return single.select(*docs.columns).unionByName(first.select(*docs.columns))
+    order = W.partitionBy(k1, k2).orderBy(F.to_json(F.struct(*columns_of(docs, "text"))))
+    one = several.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+    return single.select(*columns_of(docs)).unionByName(one.select(*columns_of(docs)))
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

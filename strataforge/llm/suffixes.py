@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest, xxh64_intdigest
 
-from strataforge.llm.common import documents, id_and_text, map_rows, stored, struct
+from strataforge.llm.common import documents, forget, id_and_text, map_rows, stored, struct
 from strataforge.sources.work import work_path
 
 LENGTH = 200
@@ -32,7 +32,7 @@ KMER = 64
 SYMBOL = 8
 #: Windows of long texts are taken so many at a time.
 STRIDE = 1 << 22
-#: A key with more distinct stretches than this is resolved by the hashes of its windows.
+#: A key with more distinct stretches than this is dealt out, so that no task holds more of one key.
 KEY_CAP = 65_536
 SHARD_SYMBOLS = 1 << 16
 TASK_ROWS = 20_000
@@ -205,15 +205,15 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t"), F.crc32(text.cast("binary")).alias("u")]
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(t, u, text, copies): each text once, bucketed by its key in the shared folder, so that later joins move nothing of it."""
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(t, u, text, copies) and the name of the table: each text once, bucketed by its key in the shared folder, so that later joins move nothing of it."""
     spark = docs.sparkSession
     texts = id_and_text(docs).select(F.coalesce("text", F.lit("")).alias("text"))
     once = texts.select(*text_keys(F.col("text")), "text").groupBy("t", "u").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     name = f"texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once.write.bucketBy(buckets, "t", "u").option("path", work_path(spark, name)).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def _packed(first: Column, count: Column, ahead: Column) -> Column:
@@ -252,7 +252,7 @@ def _stretches(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
                 h = xxh3_128_intdigest(part)
                 yield r["t"], r["u"], first, x["key"], ahead, _signed(h >> 64), _signed(h & (1 << 64) - 1), part
 
-    joined = texts.join(by_text.hint("shuffle_hash"), ["t", "u"]).select("t", "u", "text", "runs")
+    joined = texts.join(by_text, ["t", "u"]).select("t", "u", "text", "runs")
     return map_rows(joined, rows, struct("t long, u long, first long, key long, ahead int, s1 long, s2 long, part binary"), rows=4096)
 
 
@@ -295,19 +295,31 @@ def _by_merge(parts: DataFrame, length: int, tasks: int) -> DataFrame:
     return parts.repartition(tasks, "key").mapInPandas(run, struct(FOUND))
 
 
-def _by_hashes(parts: DataFrame, length: int) -> DataFrame:
-    """The same for keys with more stretches than a task should hold: windows are counted by 128-bit hashes."""
+def _dealt(cut: DataFrame, cap: int, length: int, k: int) -> DataFrame:
+    """cut, with the keys of more than `cap` distinct stretches dealt out until none is left.
 
-    def rows(it):
-        for r in it:
-            for i in range(len(r["part"]) - length + 1):
-                h = xxh3_128_intdigest(r["part"][i : i + length])
-                yield r["s1"], r["s2"], i, r["n"], _signed(h >> 64), _signed(h & (1 << 64) - 1)
-
-    windows = map_rows(parts.select("s1", "s2", "n", "part"), rows, struct("s1 long, s2 long, a int, n long, w1 long, w2 long"), rows=8192)
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("all")).filter("all > 1")
-    one = F.struct(F.col("a"), F.lit(1).alias("n"))
-    return windows.join(twice, ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_list(one).alias("ranges"))
+    The windows of such a key are halved by how far their anchor lies behind their start. All windows of a half hold the bytes around the anchor that its range of
+    distances leaves in common, so equal windows stay together when the half is dealt by a hash of those bytes. In the end a half is one distance, whose windows are
+    dealt by their hash. Stretches are cut to the windows of their half, so no window is looked at twice.
+    """
+    done: list[DataFrame] = []
+    now = cut.withColumn("low", F.lit(0)).withColumn("high", F.lit(length - k))
+    while True:
+        distinct = now.groupBy("key", "s1", "s2").agg(F.count(F.lit(1)).alias("n"))
+        large = stored(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap).select("key"), "large-keys")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, now.select(*cut.columns)])
+        done.append(now.join(large, "key", "left_anti").select(*cut.columns))
+        big = now.join(large, "key", "left_semi").withColumn("mid", F.floor((F.col("low") + F.col("high") + 1) / 2).cast("int"))
+        last = F.length("part") - length
+        half = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+        halves = F.when(F.col("low") == F.col("high"), F.array(half(F.col("low"), F.col("high")))).otherwise(F.array(half(F.col("low"), F.col("mid") - 1), half(F.col("mid"), F.col("high"))))
+        each = big.withColumn("half", F.explode(halves)).withColumn("i", F.greatest(F.lit(0), F.col("ahead") - F.col("half.high"))).withColumn("j", F.least(last, F.col("ahead") - F.col("half.low")))
+        each = each.filter("i <= j")
+        held = F.substring(F.col("part"), F.col("ahead") - F.col("half.low") + 1, length - F.col("half.high") + F.col("half.low"))
+        part = F.substring(F.col("part"), F.col("i") + 1, F.col("j") - F.col("i") + length)
+        each = each.select("t", "u", (F.col("first") + F.col("i")).alias("first"), F.xxhash64("key", "half", held).alias("key"), (F.col("ahead") - F.col("i")).cast("int").alias("ahead"), part.alias("part"), F.col("half.low").alias("low"), F.col("half.high").alias("high"))
+        now = stored(each.withColumn("s1", F.xxhash64("part")).withColumn("s2", F.xxhash64(F.lit(1), "part")).select(*cut.columns, "low", "high"), "dealt-stretches")
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, k: int = KMER, cap: int = KEY_CAP) -> DataFrame:
@@ -319,16 +331,10 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, k: int = KMER, cap:
     # written, so that the join has plain shuffles on both sides and an anchor that stands very often is split at run time
     often = stored(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "repeated-anchors")
     runs = anchors.join(often, "key").select("t", "u", "key", "run")
-    cut = stored(_stretches(texts, runs, length), "stretches")
+    cut = _dealt(stored(_stretches(texts, runs, length), "stretches"), cap, length, k)
     parts = stored(cut.groupBy("key", "s1", "s2", "ahead").agg(F.first("part").alias("part"), F.count(F.lit(1)).alias("n")), "distinct-stretches")
-    total = parts.count()
-    sizes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("of_key"))
-    large = sizes.filter(F.col("of_key") > cap).select("key")
-    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
-    if large.isEmpty():
-        found = _by_merge(parts, length, tasks)
-    else:
-        found = _by_merge(parts.join(large, "key", "left_anti"), length, tasks).unionByName(_by_hashes(parts.join(large, "key", "left_semi"), length))
+    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // TASK_ROWS))
+    found = _by_merge(parts, length, tasks)
     found = stored(found, "repeats")
     at = F.transform("ranges", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), r["n"].cast("long").alias("n")))
     return cut.select("t", "u", "first", "s1", "s2").join(found, ["s1", "s2"]).select("t", "u", at.alias("r")).groupBy("t", "u").agg(F.flatten(F.collect_list("r")).alias("ranges"))
@@ -351,9 +357,9 @@ REMOVED = "t long, u long, n_bytes long, spans array<struct<a:long,b:long>>, kep
 
 def removals(docs: DataFrame, length: int = LENGTH, k: int = KMER, cap: int = KEY_CAP) -> DataFrame:
     """One row a distinct text: key, size, spans to remove and the hash of what is left."""
-    texts = distinct_texts(docs)
+    texts, name = distinct_texts(docs)
     ranges = repeated_ranges(texts, length, k, cap)
-    joined = texts.join(ranges.hint("shuffle_hash"), ["t", "u"], "left").select("t", "u", "text", "copies", "ranges")
+    joined = texts.join(ranges, ["t", "u"], "left").select("t", "u", "text", "copies", "ranges")
 
     def rows(it):
         for r in it:
@@ -366,13 +372,17 @@ def removals(docs: DataFrame, length: int = LENGTH, k: int = KMER, cap: int = KE
             kept.update(data[at:])
             yield r["t"], r["u"], len(data), [{"a": a, "b": b} for a, b in cut], kept.hexdigest()
 
-    return stored(map_rows(joined, rows, struct(REMOVED)), "removals")
+    out = stored(map_rows(joined, rows, struct(REMOVED)), "removals")
+    forget(texts)
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    return out
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = KMER, cap: int = KEY_CAP) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges a to b to remove).
 
-    Null text counts as empty. Repeated rows are copies: from `length` bytes on they are removed whole. Null ids stay; other columns are not read.
+    Null text counts as empty; texts of any length are judged whole. Repeated rows are copies: from `length` bytes on they are removed whole. Null ids stay; an empty table gives no
+    rows; other columns, whatever their names, are not read.
     """
     found = removals(docs, length, k, cap)
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])

@@ -13,13 +13,14 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm.common import documents, id_and_text, labels, map_rows, stored, struct
+from strataforge.llm.common import documents, forget, id_and_text, labels, map_rows, stored, struct
 
 THRESHOLD = 0.3
 SAMPLE = 20_000
@@ -33,10 +34,16 @@ SIGN_COST, REPEAT_COST, DOUBLE_COST, GAP_COST = 1.0, 0.7, 0.1, 0.1
 STEMS = range(3, 9)
 TIMES = 3
 MOST_FEATURES = 300
+#: Characters counted at a time.
+SLICE = 1 << 22
 LETTERS = re.compile(r"[^\W\d_]+")
-MARKS = ".,;:?!\"'()[]"
+MARKS = ".,;:?!\"'()[]¡¿«»“”‘’…"
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
-APART = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*~]{1,2}[^\W_](?!\w)){3,24}")
+APART = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*~]{1,2}[^\W_](?!\w)){3,}")
+#: What a token falls into at marks that stand for no letter, and letters with such a mark between them.
+_SIGN = "[" + re.escape("".join(c for c in SIGNS if not c.isalnum())) + "]"
+PARTS = re.compile(rf"(?:[^\W_]|{_SIGN})+")
+BROKEN = re.compile(r"[^\W\d_]+(?:[.\-_*~·][^\W\d_]+)+")
 
 
 def _table() -> np.ndarray:
@@ -59,11 +66,14 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 text = "\n\n".join(t for t in b.column(0).slice(a, 256).to_pylist() if t)
-                for at in range(0, len(text), 1 << 22):
-                    points = np.frombuffer(text[at : at + (1 << 22)].encode("utf-32-le", "surrogatepass"), np.uint32)
+                carried = np.zeros(1, np.int64)
+                for at in range(0, len(text), SLICE):
+                    points = np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
                     c = table[np.minimum(points, 0x24F)]
                     c[(points > 0x24F)] = 0
-                    c = np.concatenate([[0], c, [0, 0]])
+                    last = at + SLICE >= len(text)
+                    c = np.concatenate([carried, c, np.zeros(2 * last, np.int64)])
+                    carried = c[-2:]  # a slice goes on where the one before ends
                     key = (c[:-2] * A + c[1:-1]) * A + c[2:]
                     total += np.bincount(key[(c[1:-1] > 0) | (c[:-2] > 0)], minlength=A**3)
                     first = key[(c[:-2] == 0) & (c[1:-1] > 0)] // A  # the edge twice, then a word's first letter
@@ -91,40 +101,46 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each observed character what it may stand for ('' for nothing) and the cost."""
     out: list[list[tuple[str, float]]] = []
-    for i, c in enumerate(token):
-        if c.isalpha():
-            here = [(c, 0.0)]
-            if i and token[i - 1] == c:
-                run = len(re.match(f"{re.escape(c)}+", token[i - 1 :])[0]) > 2 or (i > 1 and token[i - 2] == c)
-                here = [(c, REPEAT_COST), ("", DOUBLE_COST)] if run else [(c, 0.0), ("", 4.0)]
-        elif c in SIGNS:
-            here = [(x, SIGN_COST) for x in SIGNS[c]]
-            if i and token[i - 1] == c:
-                here.append(("", REPEAT_COST))
-            if not c.isdigit():
-                here.append(("", 4.0))
-        else:
-            here = [("", GAP_COST)]
-        out.append(here)
+    for c, run in groupby(token):
+        times = len(list(run))
+        for i in range(times):
+            if c.isalpha():
+                here = [(c, 0.0)]
+                if i:
+                    here = [(c, REPEAT_COST), ("", DOUBLE_COST)] if times > 2 else [(c, 0.0), ("", 4.0)]
+            elif c in SIGNS:
+                here = [(x, SIGN_COST) for x in SIGNS[c]]
+                if i:
+                    here.append(("", REPEAT_COST))
+                if not c.isdigit():
+                    here.append(("", 4.0))
+            else:
+                here = [("", GAP_COST)]
+            out.append(here)
     return out
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The cheapest path of letters through the token's lattice, by Viterbi over the last two letters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The cheapest path of letters through the token's lattice, by Viterbi over the last two letters; of equal ones the first. Time goes with the token's length."""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in lattice(token.lower()):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, word) in states.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in states.items():
             for letter, price in options:
                 if letter:
                     c = CODE.get(letter, 1)
-                    key, new = (b, c), (cost + price + float(model[a, b, c]), word + letter)
+                    key, total = (b, c), cost + price + float(model[a, b, c])
                 else:
-                    key, new = (a, b), (cost + price, word)
-                if key not in after or new < after[key]:
-                    after[key] = new
+                    key, total = (a, b), cost + price
+                if key not in after or total < after[key][0]:
+                    after[key] = (total, (letter, path) if letter else path)
         states = after
-    return min((cost + float(model[a, b, 0]), word) for (a, b), (cost, word) in states.items())[1]
+    path = min(((cost + float(model[a, b, 0]), path) for (a, b), (cost, path) in states.items()), key=lambda x: x[0])[1]
+    letters = []
+    while path:
+        letter, path = path
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def drawn_out(text: str) -> bool:
@@ -133,38 +149,52 @@ def drawn_out(text: str) -> bool:
     return bool(((c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]) & (c[2:] > 32)).any())
 
 
-def disguised(text: str) -> list[str]:
-    """Tokens of a text that look disguised, each once, in order of first appearance.
-
-    Those are words with signs among their letters (marks around them and runs of one sign at their end aside), words with a letter three times in a row, and
-    letters spelled apart.
-    """
+def suspicious(token: str, triples: bool) -> Iterator[str]:
+    """What of a token looks disguised: parts between marks with signs among their letters (runs of one sign at their end aside) or a letter three times in a row."""
+    token = token.strip(MARKS)
+    if token.isalpha():
+        if triples and TRIPLE.search(token):
+            yield token
+        return
+    for part in PARTS.findall(token):
+        if part[-3:] == part[-1:] * 3 and not part[-1].isalpha():
+            part = part.rstrip(part[-1])
+        if part.isalpha():
+            if triples and TRIPLE.search(part):
+                yield part
+        elif any(c in SIGNS for c in part) and any(c.isalpha() for c in part):
+            yield part
+
+
+def disguised(text: str) -> list[tuple[str, str, int]]:
+    """(what to decode, what stands in the text, how often): suspicious tokens and letters spelled apart, the latter without what stands between them."""
     triples = drawn_out(text)
-    out: dict[str, None] = {}
-    for w in dict.fromkeys(text.split()):
-        w = w.strip(MARKS)
-        if w.isalpha():
-            if triples and TRIPLE.search(w):
-                out[w] = None
-            continue
-        if w[-3:] == w[-1:] * 3:
-            w = w.rstrip(w[-1:])
-        if any(c in SIGNS for c in w) and all(c in SIGNS or c.isalnum() for c in w) and any(c.isalpha() for c in w):
-            out[w] = None
-    out.update(dict.fromkeys(re.sub(r"[ .\-_*~]", "", m[0]) for m in APART.finditer(text)))
-    return [t for t in out if 3 <= len(t) <= 60]
+    out: Counter = Counter()
+    for w, n in Counter(text.split()).items():
+        for part in suspicious(w, triples):
+            if len(part) >= 3:
+                out[part] += n
+    return [(t, t, n) for t, n in out.items()] + [(re.sub(r"[ .\-_*~]", "", m[0]), m[0], 1) for m in APART.finditer(text)]
 
 
 def restore(text: str, model: np.ndarray) -> list[str]:
-    """The decoded words of a text's disguised tokens."""
-    return [w for w in (decode(t, model) for t in disguised(text)) if w]
+    """The decoded words of what is disguised in a text."""
+    return [w for w in (decode(t, model) for t, _, _ in disguised(text)) if w]
 
 
 def words_in(text: str, model: np.ndarray) -> Counter:
-    """All words of the restored text, lower-cased, with their numbers."""
+    """All words of the restored text, lower-cased, with their numbers: what is disguised is replaced by what it decodes to.
+
+    Words that a mark breaks in two stay as they are, and count joined as well.
+    """
     out = Counter(LETTERS.findall(text.lower()))
-    out.update(restore(text, model))
-    return out
+    for token, shown, n in disguised(text):
+        if word := decode(token, model):
+            for piece in LETTERS.findall(shown.lower()):
+                out[piece] -= n
+            out[word] += n
+    out.update(re.sub(r"[\W_]", "", m) for m in BROKEN.findall(text.lower()))
+    return +out
 
 
 def features(words: Counter) -> set[str]:
@@ -216,11 +246,11 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, marks: DataFrame, model: np.ndarray, sample: int = SAMPLE, least: int = 5, precision: float = 0.7) -> Lexicon:
+def fit(docs: DataFrame, marks: DataFrame, model: np.ndarray, sample: int = SAMPLE, least: int = 5, precision: float = 0.7, most: int = MOST_FEATURES) -> Lexicon:
     """Learn from at most `sample` labelled rows that are not held out, those with the smallest hash of their id.
 
     Equal texts count once. A word or stem is a candidate if `least` positive texts have it and `precision` of all texts with it are
-    positive; the candidate that explains most unexplained positive texts is taken, again and again, as long as it explains `least` of them. Features are
+    positive; the candidate that explains most unexplained positive texts is taken, again and again, as long as it explains `least` of them, `most` of them at most. Features are
     counted on the executors, first of positive texts, then of the others for those that can still be candidates.
     """
     marks = marks.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out(F.col("doc_id")))
@@ -233,11 +263,13 @@ def fit(docs: DataFrame, marks: DataFrame, model: np.ndarray, sample: int = SAMP
     sent = spark.sparkContext.broadcast(model)
 
     def counted(of: DataFrame, among: set[str] | None) -> dict[str, int]:
+        only = None if among is None else spark.sparkContext.broadcast(among)  # features of at most `sample` texts
+
         def rows(it):
             total: Counter = Counter()
             for r in it:
                 f = features(words_in(r["text"], sent.value))
-                total.update(f if among is None else f & among)
+                total.update(f if only is None else f & only.value)
             yield from total.items()
 
         sums = map_rows(of.select("text"), rows, struct("f string, n long")).groupBy("f").agg(F.sum("n").alias("n"))
@@ -246,12 +278,14 @@ def fit(docs: DataFrame, marks: DataFrame, model: np.ndarray, sample: int = SAMP
     p = counted(texts.filter("toxic = 1"), None)
     n = counted(texts.filter("toxic = 0"), set(p))
     chosen = {f for f in p if p[f] >= precision * (p[f] + n.get(f, 0))}
+    listed = spark.sparkContext.broadcast(chosen)
 
     def present(it):
         for r in it:
-            yield r["toxic"], sorted(features(words_in(r["text"], sent.value)) & chosen)
+            yield r["toxic"], sorted(features(words_in(r["text"], sent.value)) & listed.value)
 
     got = map_rows(texts.select("toxic", "text"), present, struct("toxic int, f array<string>")).collect()
+    forget(texts)
     positive: dict[str, set[int]] = defaultdict(set)
     for i, r in enumerate(got):
         if r["toxic"]:
@@ -260,7 +294,7 @@ def fit(docs: DataFrame, marks: DataFrame, model: np.ndarray, sample: int = SAMP
     forest = sorted(positive)
     known: set[int] = set()
     taken: list[str] = []
-    while forest and len(taken) < MOST_FEATURES:
+    while forest and len(taken) < most:
         # unexplained texts first, fewer negatives, then the longer word or stem, which is the narrower claim
         best = max(forest, key=lambda f: ((len(positive[f]) - len(positive[f] & known)) * p[f] / (p[f] + 10 * n.get(f, 0)), len(f), f))
         if len(positive[best] - known) < least:
@@ -308,7 +342,10 @@ def scored(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, marks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs that are not rejected, all their columns; every row is judged by its own text."""
+    """docs that are not rejected, all their columns, of whatever names and types; every row is judged by its own whole text.
+
+    Null and empty texts score as texts without words and stay unless such texts are toxic by the labels; repeated rows stay or go together; null ids stay; an empty table gives no rows.
+    """
     model = language_model(trigram_counts(docs))
     lexicon = fit(docs, marks, model)
     sent = docs.sparkSession.sparkContext.broadcast(model)

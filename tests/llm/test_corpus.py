@@ -124,7 +124,7 @@ def test_mixed_documents(spark, docs):
     words = mix.agg(F.sum("taken")).first()[0]
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    assert sum(len((r["text"] or "").encode().split()) for r in out.collect()) == pytest.approx(words, abs=200)
+    assert sum(len((r["text"] or "").encode().split()) for r in out.collect()) == words
     assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
@@ -232,12 +232,6 @@ def test_near_links(spark, distance, cap):
     for chosen in (None, [(list(range(64)), 2)] if distance == 2 else None):
         got = {(r["a"], r["b"]) for r in simhash.near_links(nodes, distance, cap=cap, chosen=chosen).collect()}
         assert union(got, range(len(fps))) == want
-    pairs = {(r["a"], r["b"]) for r in simhash.near_links(nodes, distance, earlier=True, cap=cap).collect()}
-    assert pairs <= set(true)
-    first = defaultdict(lambda: 10**9)
-    for i, j in true:
-        first[i] = min(first[i], j)
-    assert {(i, j) for i, j in first.items()} <= pairs
 
 
 def test_simhash_components(spark, docs):

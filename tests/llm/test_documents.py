@@ -157,7 +157,7 @@ def brute_cost(value):
             return 0.0
         out = best(i - 1) + per
         for a in range(i):
-            if (rank := secrets.RANK.get(value[a:i])) and i - a >= 3:
+            if (rank := secrets.DEFAULT.rank.get(value[a:i])) and i - a >= 3:
                 out = min(out, best(a) + np.log10(max(rank * 2, 1)) + 0.3)
         return out
 

@@ -43,3 +43,42 @@ def test_all_within_the_distance(spark, cap, monkeypatch):
     want = brute(texts)
     assert want == [*range(40), *range(40)]
     assert keepers(spark, texts) == sorted(set(want))
+
+
+def edited(rng: random.Random, words: list[str], share: float) -> list[str]:
+    """A near copy: words replaced, dropped, inserted or added at the end, so many of all."""
+    out = list(words)
+    how = rng.choice(["replace", "drop", "insert", "tail"])
+    for _ in range(max(1, round(share * len(words) / (1 if how == "tail" else 5)))):
+        at = rng.randrange(len(out))
+        fresh = f"other{rng.randrange(10**6)}"
+        if how == "replace":
+            out[at] = fresh
+        elif how == "drop":
+            del out[at]
+        else:
+            out.insert(len(out) if how == "tail" else at, fresh)
+    return out
+
+
+def clusters(size: int, n: int, seed: int) -> list[str]:
+    rng = random.Random(seed)
+    lexicon = ["".join(rng.choices("abcdefghijklmnoprstuvz", k=rng.randint(2, 11))) for _ in range(4_000)]
+    out = []
+    for _ in range(n):
+        base = [lexicon[min(int(rng.paretovariate(0.6)) - 1, len(lexicon) - 1)] for _ in range(rng.choice([40, 100, 300]))]
+        out += [" ".join(base)] + [" ".join(edited(rng, base, rng.choice([0.02, 0.06, 0.1]))) for _ in range(size - 1)]
+    return out
+
+
+@pytest.mark.parametrize(("size", "n"), [(4, 60), (150, 2)])
+def test_recall(spark, size, n):
+    """Of the texts that brute force over all pairs removes, nine in ten go; none else does."""
+    texts = clusters(size, n, size)
+    want = brute(texts)
+    removable = {i for i, k in enumerate(want) if k != i}
+    gone = set(range(len(texts))) - set(keepers(spark, texts))
+    assert len(removable) > 0.3 * len(texts)
+    assert len(gone & removable) >= 0.9 * len(removable)
+    assert all(any(want[j] == want[i] for j in range(len(texts)) if j != i) for i in gone)
+    print("near-dedup recall", size, len(gone & removable) / len(removable))
