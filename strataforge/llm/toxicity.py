@@ -43,7 +43,7 @@ APART = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*~]{1,2}[^\W_](?!\w)){3,}")
 #: What a token falls into at marks that stand for no letter, and letters with such a mark between them.
 _SIGN = "[" + re.escape("".join(c for c in SIGNS if not c.isalnum())) + "]"
 PARTS = re.compile(rf"(?:[^\W_]|{_SIGN})+")
-BROKEN = re.compile(r"[^\W\d_]+(?:[.\-_*~·][^\W\d_]+)+")
+BROKEN = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[.\-_*~·][^\W\d_]++)++")
 
 
 def _table() -> np.ndarray:
