@@ -308,6 +308,7 @@ def _dealt(cut: DataFrame, cap: int, length: int, k: int) -> DataFrame:
         distinct = now.groupBy("key", "s1", "s2").agg(F.count(F.lit(1)).alias("n"))
         large = stored(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap).select("key"), "large-keys")
         if large.isEmpty():
+            forget(large)
             return reduce(DataFrame.unionByName, [*done, now.select(*cut.columns)])
         done.append(now.join(large, "key", "left_anti").select(*cut.columns))
         big = now.join(large, "key", "left_semi").withColumn("mid", F.floor((F.col("low") + F.col("high") + 1) / 2).cast("int"))
@@ -322,8 +323,8 @@ def _dealt(cut: DataFrame, cap: int, length: int, k: int) -> DataFrame:
         now = stored(each.withColumn("s1", F.xxhash64("part")).withColumn("s2", F.xxhash64(F.lit(1), "part")).select(*cut.columns, "low", "high"), "dealt-stretches")
 
 
-def repeated_ranges(texts: DataFrame, length: int = LENGTH, k: int = KMER, cap: int = KEY_CAP) -> DataFrame:
-    """(t, u, ranges): for each text the starts (as ranges a, n) of its windows that stand elsewhere in these distinct texts too.
+def repeated_ranges(texts: DataFrame, length: int = LENGTH, k: int = KMER, cap: int = KEY_CAP) -> tuple[DataFrame, list[DataFrame]]:
+    """(t, u, ranges), and the tables it reads, to be deleted after it: for each text the starts (as ranges a, n) of its windows that stand elsewhere in these distinct texts too.
 
     Distinct texts may share windows with themselves and each other; copies of whole texts are the caller's to know.
     """
@@ -337,7 +338,9 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, k: int = KMER, cap:
     found = _by_merge(parts, length, tasks)
     found = stored(found, "repeats")
     at = F.transform("ranges", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), r["n"].cast("long").alias("n")))
-    return cut.select("t", "u", "first", "s1", "s2").join(found, ["s1", "s2"]).select("t", "u", at.alias("r")).groupBy("t", "u").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+    ranges = cut.select("t", "u", "first", "s1", "s2").join(found, ["s1", "s2"]).select("t", "u", at.alias("r")).groupBy("t", "u").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+    forget(often, parts)
+    return ranges, [cut, found]
 
 
 def spans(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -358,7 +361,7 @@ REMOVED = "t long, u long, n_bytes long, spans array<struct<a:long,b:long>>, kep
 def removals(docs: DataFrame, length: int = LENGTH, k: int = KMER, cap: int = KEY_CAP) -> DataFrame:
     """One row a distinct text: key, size, spans to remove and the hash of what is left."""
     texts, name = distinct_texts(docs)
-    ranges = repeated_ranges(texts, length, k, cap)
+    ranges, read = repeated_ranges(texts, length, k, cap)
     joined = texts.join(ranges, ["t", "u"], "left").select("t", "u", "text", "copies", "ranges")
 
     def rows(it):
@@ -373,7 +376,7 @@ def removals(docs: DataFrame, length: int = LENGTH, k: int = KMER, cap: int = KE
             yield r["t"], r["u"], len(data), [{"a": a, "b": b} for a, b in cut], kept.hexdigest()
 
     out = stored(map_rows(joined, rows, struct(REMOVED)), "removals")
-    forget(texts)
+    forget(texts, *read)
     docs.sparkSession.sql(f"DROP TABLE {name}")
     return out
 

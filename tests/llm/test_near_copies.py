@@ -82,3 +82,47 @@ def test_recall(spark, size, n):
     assert len(gone & removable) >= 0.9 * len(removable)
     assert all(any(want[j] == want[i] for j in range(len(texts)) if j != i) for i in gone)
     print("near-dedup recall", size, len(gone & removable) / len(removable))
+
+
+def linked(x: list[str], y: list[str]) -> bool:
+    """Whether runs of 46 five-word shingles at some places of two texts have a Jaccard similarity of 0.8: every pair of starts whose shingles agree somewhere is tried."""
+    sx, sy = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (x, y))
+    places: dict = {}
+    for j, s in enumerate(sy):
+        places.setdefault(s, []).append(j)
+    for d in {i - j for i, s in enumerate(sx) for j in places.get(s, ())}:
+        for i in range(max(0, d), min(len(sx), len(sy) + d) - 45):
+            a, b = set(sx[i : i + 46]), set(sy[i - d : i - d + 46])
+            if len(a & b) >= 0.8 * len(a | b):
+                return True
+    return False
+
+
+def test_passages_recall(spark):
+    """Classes of near passages against brute force over all pairs: a passage in 60 texts, each time with a changed word or two, and pairs of texts with a passage of their own."""
+    from strataforge.llm import passages
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 7)))
+    some = lambda n: [word() for _ in range(n)]
+    shared, texts = some(80), []
+    for k in range(100):
+        if k >= 60 and k % 2 == 0:
+            own = some(70)
+        core = list(shared if k < 60 else own)
+        for _ in range(rng.randint(0, 2)):
+            core[rng.randrange(len(core))] = word()
+        texts.append(some(rng.randint(0, 60)) + core + some(rng.randint(0, 60)))
+    texts += [some(rng.randint(0, 150)) for _ in range(40)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if linked(texts[i], texts[j]):
+                x, y = sorted((label[i], label[j]))
+                label = [x if k == y else k for k in label]
+    got = {r["doc_id"]: r["class_id"] for r in passages.near_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if label[i] == label[j]]
+    found = sum(got[i] == got[j] for i, j in pairs)
+    print("passage class recall", found / len(pairs))
+    assert found >= 0.9 * len(pairs)
+    assert not any(got[i] == got[j] for i in range(len(texts)) for j in range(i) if label[i] != label[j])
