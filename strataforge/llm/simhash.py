@@ -152,7 +152,7 @@ def plan(fps: DataFrame, distance: int = DISTANCE, most: int = 4) -> list[tuple[
     """
     n, both = bit_counts(fps)
     if not n:
-        return [(list(range(BITS)), distance)]
+        return [(list(range(BITS)), 0)]  # nothing to probe
     q = np.diag(both) / n
     differ = 2 * q * (1 - q)
     options = {m: partitions(n, both, m) for m in range(1, most + 1)}
