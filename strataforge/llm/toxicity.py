@@ -40,6 +40,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 MARKS = ".,;:?!\"'()[]¡¿«»“”‘’…"
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 APART = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*~]{1,2}[^\W_](?!\w)){3,}")
+#: Two lone letters in a row: every run of APART has them in its midst.
+LONE = re.compile(r"[ .\-_*~][^\W_][ .\-_*~]{1,2}[^\W_][ .\-_*~]")
 #: What a token falls into at marks that stand for no letter, and letters with such a mark between them.
 _SIGN = "[" + re.escape("".join(c for c in SIGNS if not c.isalnum())) + "]"
 PARTS = re.compile(rf"(?:[^\W_]|{_SIGN})+")
@@ -166,15 +168,39 @@ def suspicious(token: str, triples: bool) -> Iterator[str]:
             yield part
 
 
+def spelled_apart(text: str) -> list[tuple[str, str, int]]:
+    """Letters spelled apart, without and with what stands between them, each once."""
+    if not LONE.search(text):
+        return []
+    return [(re.sub(r"[ .\-_*~]", "", m[0]), m[0], 1) for m in APART.finditer(text)]
+
+
 def disguised(text: str) -> list[tuple[str, str, int]]:
     """(what to decode, what stands in the text, how often): suspicious tokens and letters spelled apart, the latter without what stands between them."""
+    return read(text)[1]
+
+
+def read(text: str) -> tuple[dict[str, int], list[tuple[str, str, int]]]:
+    """A text's words as they stand, lower-cased, words that a mark breaks in two also joined; and what is disguised. Each distinct token is looked at once."""
     triples = drawn_out(text)
-    out: Counter = Counter()
+    words: dict[str, int] = defaultdict(int)
+    parts: dict[str, int] = defaultdict(int)
     for w, n in Counter(text.split()).items():
+        core = w if w.isalpha() else w.strip(MARKS)
+        if core.isalpha():
+            words[core.lower()] += n
+            if triples and len(core) >= 3 and TRIPLE.search(core):
+                parts[core] += n
+            continue
+        low = w.lower()
+        for piece in LETTERS.findall(low):
+            words[piece] += n
+        for m in BROKEN.findall(low):
+            words[re.sub(r"[\W_]", "", m)] += n
         for part in suspicious(w, triples):
             if len(part) >= 3:
-                out[part] += n
-    return [(t, t, n) for t, n in out.items()] + [(re.sub(r"[ .\-_*~]", "", m[0]), m[0], 1) for m in APART.finditer(text)]
+                parts[part] += n
+    return words, [(t, t, n) for t, n in parts.items()] + spelled_apart(text)
 
 
 def restore(text: str, model: np.ndarray) -> list[str]:
@@ -182,29 +208,31 @@ def restore(text: str, model: np.ndarray) -> list[str]:
     return [w for w in (decode(t, model) for t, _, _ in disguised(text)) if w]
 
 
-def words_in(text: str, model: np.ndarray) -> Counter:
+def words_in(text: str, model: np.ndarray) -> dict[str, int]:
     """All words of the restored text, lower-cased, with their numbers: what is disguised is replaced by what it decodes to.
 
     Words that a mark breaks in two stay as they are, and count joined as well.
     """
-    out = Counter(LETTERS.findall(text.lower()))
-    for token, shown, n in disguised(text):
+    out, hidden = read(text)
+    for token, shown, n in hidden:
         if word := decode(token, model):
             for piece in LETTERS.findall(shown.lower()):
                 out[piece] -= n
             out[word] += n
-    out.update(re.sub(r"[\W_]", "", m) for m in BROKEN.findall(text.lower()))
-    return +out
+    return {w: n for w, n in out.items() if n > 0} if hidden else out
 
 
-def features(words: Counter) -> set[str]:
+def features(words: dict[str, int]) -> set[str]:
     """Whole words, and 'stem-m' for every stem that starts m words or more, m to TIMES."""
-    stems: Counter = Counter()
+    stems: dict[str, int] = defaultdict(int)
     for w, n in words.items():
-        for k in STEMS:
-            if len(w) > k:
-                stems[w[:k]] += n
-    return set(words) | {f"{s}-{m}" for s, n in stems.items() for m in range(1, min(n, TIMES) + 1)}
+        for k in range(STEMS[0], min(len(w) - 1, STEMS[-1]) + 1):
+            stems[w[:k]] += n
+    out = set(words)
+    for m in range(1, TIMES + 1):
+        end = f"-{m}"
+        out.update([s + end for s, n in stems.items() if n >= m])
+    return out
 
 
 @dataclass
@@ -217,7 +245,7 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.heads = {f[: STEMS[0]] for f in self.weights}
 
-    def score(self, words: Counter) -> float:
+    def score(self, words: dict[str, int]) -> float:
         """Probability of label 1 from a text's words."""
         some = {w: n for w, n in words.items() if w[: STEMS[0]] in self.heads}
         hits = features(some).intersection(self.weights) if some else ()
@@ -278,11 +306,13 @@ def fit(docs: DataFrame, marks: DataFrame, model: np.ndarray, sample: int = SAMP
     p = counted(texts.filter("toxic = 1"), None)
     n = counted(texts.filter("toxic = 0"), set(p))
     chosen = {f for f in p if p[f] >= precision * (p[f] + n.get(f, 0))}
-    listed = spark.sparkContext.broadcast(chosen)
+    listed = spark.sparkContext.broadcast((chosen, {f[: STEMS[0]] for f in chosen}))
 
     def present(it):
+        among, heads = listed.value
         for r in it:
-            yield r["toxic"], sorted(features(words_in(r["text"], sent.value)) & listed.value)
+            some = {w: n for w, n in words_in(r["text"], sent.value).items() if w[: STEMS[0]] in heads}
+            yield r["toxic"], sorted(features(some) & among)
 
     got = map_rows(texts.select("toxic", "text"), present, struct("toxic int, f array<string>")).collect()
     forget(texts)
