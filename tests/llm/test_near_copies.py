@@ -126,3 +126,29 @@ def test_passages_recall(spark):
     print("passage class recall", found / len(pairs))
     assert found >= 0.9 * len(pairs)
     assert not any(got[i] == got[j] for i in range(len(texts)) for j in range(i) if label[i] != label[j])
+
+
+def test_passages_in_a_crowd(spark, monkeypatch):
+    """Classes of passages of one length, all cut from one original, against all pairs: hundreds have equal smallest hashes, few are similar enough."""
+    from strataforge.llm import passages
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7)))
+    base, other = [word() for _ in range(50)], [word() for _ in range(50)]
+    texts = sorted({tuple(other[i] if i % 5 == 2 and rng.random() < 0.5 else w for i, w in enumerate(base)) for _ in range(150)})
+    hashes = [passages.shingles(" ".join(t)) for t in texts]
+    least = [[passages.mixed(h, j).min() for j in range(passages.FUNCTIONS)] for h in hashes]
+    sets = [set(h.tolist()) for h in hashes]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if sum(x == y for x, y in zip(least[i], least[j], strict=True)) >= passages.AGREE and shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                x, y = sorted((label[i], label[j]))
+                label = [x if k == y else k for k in label]
+    assert 10 < len(set(label)) < len(texts) - 10
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for block in (1024, 16):
+        monkeypatch.setattr(passages, "BLOCK", block, raising=False)
+        got = {r["doc_id"]: r["class_id"] for r in passages.near_passages(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == label
