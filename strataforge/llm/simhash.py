@@ -12,7 +12,7 @@ made: what leaves a point is a spanning forest. A point where very many meet is
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,6 +40,8 @@ SIMILARITY = 0.8
 NEAR_DISTANCE = 8
 #: A component of candidates with more texts than this is verified as pairs of blocks of about this size.
 VERIFY_CAP = 512
+#: Most bits of the table that tells which texts are worth a join, 32 a text before; with more texts more rows pass, and none is lost.
+SIEVE_BITS = 1 << 26
 CONTENT_BYTES = 6
 LEAST_CONTENT = 8
 
@@ -322,6 +324,22 @@ def _alike(sets: DataFrame, similarity: float, cap: int = VERIFY_CAP) -> DataFra
     return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
+def _sieve(keys: DataFrame, key: str = "k1") -> Callable[[Column], Column]:
+    """Whether a text key may be among these: always true where it is. A bit a key, sent to all executors, so that texts no join is to find need not be shuffled."""
+    slots = keys.select(F.pmod(F.col(key), F.lit(SIEVE_BITS)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
+    size = min(SIEVE_BITS, 1 << (32 * len(slots) + 7).bit_length())
+    table = np.zeros(size, bool)
+    table[slots % size] = True
+    bits = keys.sparkSession.sparkContext.broadcast(np.packbits(table, bitorder="little"))
+
+    @F.pandas_udf("boolean")
+    def among(k: pd.Series) -> pd.Series:
+        slot = k.to_numpy().astype(np.int64) % size
+        return pd.Series((bits.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool))
+
+    return among
+
+
 def near_copy_classes(docs: DataFrame, similarity: float = SIMILARITY, distance: int = NEAR_DISTANCE, cap: int = GROUP_CAP) -> DataFrame:
     """Classes of different texts that verified links join, one row a text: k1, k2 (the text's 128 bits), node (its number), first_id, copies, keeper (the node that stays).
 
@@ -339,8 +357,11 @@ def near_copy_classes(docs: DataFrame, similarity: float = SIMILARITY, distance:
     # the number is fixed once it is written
     nodes = stored(once.withColumn("rank", F.coalesce("first_id", F.lit((1 << 63) - 1))).withColumn("node", F.monotonically_increasing_id()), "nodes")
     forget(marked)
-    wanted = stored(nodes.join(connected_components(near_links(nodes.select("node", "fp"), distance, cap=cap)), "node").select("k1", "k2", "node", "component"), "candidates")
-    texts = id_and_text(docs).select(*keys, "text").join(wanted, ["k1", "k2"])
+    # written, as the components read them more than once
+    near = stored(near_links(nodes.select("node", "fp"), distance, cap=cap), "links")
+    wanted = stored(nodes.join(connected_components(near), "node").select("k1", "k2", "node", "component"), "candidates")
+    forget(near)
+    texts = id_and_text(docs).select(*keys, "text").filter(_sieve(wanted)(F.col("k1"))).join(wanted, ["k1", "k2"])
 
     def sets(it):
         for r in it:
@@ -367,13 +388,14 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, distance: int =
     told = classes.filter((F.col("keeper") != F.col("node")) | (F.col("copies") > 1))
     decided = stored(told.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("first_id").alias(first), (F.col("keeper") == F.col("node")).alias(stays)), "decided")
     keyed = docs.withColumns(dict(zip((k1, k2), text_keys(F.coalesce(F.col("text").cast("string"), F.lit(""))), strict=True)))
-    joined = keyed.join(decided, [k1, k2], "left")
-    single = joined.filter(F.col(stays).isNull())
+    maybe = _sieve(decided, k1)(F.col(k1))
+    joined = keyed.filter(maybe).join(decided, [k1, k2], "left")
+    single = keyed.filter(~maybe).select(*columns_of(docs)).unionByName(joined.filter(F.col(stays).isNull()).select(*columns_of(docs)))
     several = joined.filter(F.col(stays) & F.col("doc_id").cast("long").eqNullSafe(F.col(first)))
     # rows alike in id and text: only those of texts with copies can be
     order = W.partitionBy(k1, k2).orderBy(F.to_json(F.struct(*columns_of(docs, "text"))))
     one = several.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
-    return single.select(*columns_of(docs)).unionByName(one.select(*columns_of(docs)))
+    return single.unionByName(one.select(*columns_of(docs)))
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark import SparkContext
 
 from strataforge.llm import simhash
 
@@ -152,3 +153,31 @@ def test_passages_in_a_crowd(spark, monkeypatch):
         monkeypatch.setattr(passages, "BLOCK", block, raising=False)
         got = {r["doc_id"]: r["class_id"] for r in passages.near_passages(docs).collect()}
         assert [got[i] for i in range(len(texts))] == label
+
+
+def test_texts_without_copies_stay_where_they_are(spark, tmp_path):
+    """Texts that no join is to find are not shuffled: with joins that are not broadcast, what is written between stages does not grow with them."""
+    rng = random.Random(5)
+    alone = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=20_000)) for _ in range(150)]
+    texts = alone + [alone[0]] + clusters(4, 5, 3)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = brute(texts)
+        store = spark.sparkContext._jsc.sc().statusStore()
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+        docs.write.parquet(f"{tmp_path}/docs")
+        start = max(s.stageId() for s in _stages(store))
+        got = sorted(r["doc_id"] for r in simhash.one_of_each(spark.read.parquet(f"{tmp_path}/docs")).collect())
+        written = sum(s.shuffleWriteBytes() for s in _stages(store) if s.stageId() > start)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert got == sorted(set(want))
+    assert written < 0.5 * sum(map(len, texts))
+
+
+def _stages(store) -> list:
+    gateway = SparkContext._gateway
+    empty = gateway.jvm.java.util.ArrayList()
+    stages = store.stageList(empty, False, False, gateway.new_array(gateway.jvm.double, 0), empty)
+    return [stages.apply(i) for i in range(stages.size())]
