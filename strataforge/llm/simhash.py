@@ -324,18 +324,17 @@ def _alike(sets: DataFrame, similarity: float, cap: int = VERIFY_CAP) -> DataFra
     return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
-def _sieve(keys: DataFrame, key: str = "k1") -> Callable[[Column], Column]:
-    """Whether a text key may be among these: always true where it is. A bit a key, sent to all executors, so that texts no join is to find need not be shuffled."""
+def _sieve(keys: DataFrame, key: str = "k1") -> Callable[[np.ndarray], np.ndarray]:
+    """Whether text keys may be among these: always true where they are. A bit a key, sent to all executors, so that texts no join is to find need not be shuffled."""
     slots = keys.select(F.pmod(F.col(key), F.lit(SIEVE_BITS)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
     size = min(SIEVE_BITS, 1 << (32 * len(slots) + 7).bit_length())
     table = np.zeros(size, bool)
     table[slots % size] = True
     bits = keys.sparkSession.sparkContext.broadcast(np.packbits(table, bitorder="little"))
 
-    @F.pandas_udf("boolean")
-    def among(k: pd.Series) -> pd.Series:
-        slot = k.to_numpy().astype(np.int64) % size
-        return pd.Series((bits.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool))
+    def among(k: np.ndarray) -> np.ndarray:
+        slot = k.astype(np.int64) % size
+        return (bits.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
     return among
 
@@ -361,13 +360,19 @@ def near_copy_classes(docs: DataFrame, similarity: float = SIMILARITY, distance:
     near = stored(near_links(nodes.select("node", "fp"), distance, cap=cap), "links")
     wanted = stored(nodes.join(connected_components(near), "node").select("k1", "k2", "node", "component"), "candidates")
     forget(near)
-    texts = id_and_text(docs).select(*keys, "text").filter(_sieve(wanted)(F.col("k1"))).join(wanted, ["k1", "k2"])
+    among = _sieve(wanted)
 
-    def sets(it):
-        for r in it:
-            yield r["node"], r["component"], shingle_set(r["text"] or "")
-
-    shingled = stored(map_rows(texts.select("node", "component", "text"), sets, struct("node long, component long, shingles array<int>")).dropDuplicates(["node"]), "shingles")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(among(b.column(0).to_numpy())))
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                lists = pa.array([shingle_set(t or "") for t in part.column(2).to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["k1", "k2", "shingles"])
+
+    # one Python evaluation in the stage: with two of them every task has two workers, which live on and keep what later stages load
+    asked = id_and_text(docs).select(*keys, "text").mapInArrow(sets, struct("k1 long, k2 long, shingles array<int>"))
+    shingled = stored(asked.join(wanted, ["k1", "k2"]).select("node", "component", "shingles").dropDuplicates(["node"]), "shingles")
     alike = stored(_alike(shingled, similarity), "alike")
     forget(wanted, shingled)
     classes = connected_components(alike)
@@ -388,7 +393,8 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, distance: int =
     told = classes.filter((F.col("keeper") != F.col("node")) | (F.col("copies") > 1))
     decided = stored(told.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("first_id").alias(first), (F.col("keeper") == F.col("node")).alias(stays)), "decided")
     keyed = docs.withColumns(dict(zip((k1, k2), text_keys(F.coalesce(F.col("text").cast("string"), F.lit(""))), strict=True)))
-    maybe = _sieve(decided, k1)(F.col(k1))
+    among = _sieve(decided, k1)
+    maybe = F.pandas_udf(lambda k: pd.Series(among(k.to_numpy())), "boolean")(F.col(k1))
     joined = keyed.filter(maybe).join(decided, [k1, k2], "left")
     single = keyed.filter(~maybe).select(*columns_of(docs)).unionByName(joined.filter(F.col(stays).isNull()).select(*columns_of(docs)))
     several = joined.filter(F.col(stays) & F.col("doc_id").cast("long").eqNullSafe(F.col(first)))

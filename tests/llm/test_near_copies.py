@@ -181,3 +181,38 @@ def _stages(store) -> list:
     empty = gateway.jvm.java.util.ArrayList()
     stages = store.stageList(empty, False, False, gateway.new_array(gateway.jvm.double, 0), empty)
     return [stages.apply(i) for i in range(stages.size())]
+
+
+def python_in_a_stage(df) -> int:
+    """The most Python evaluations that a task of df's plan runs at once."""
+    most = 0
+
+    def walk(node, above: int) -> None:
+        nonlocal most
+        name = node.nodeName()
+        own = 0 if "Exchange" in name else above + any(x in name for x in ("Python", "InArrow", "InPandas"))
+        most = max(most, own)
+        if name == "AdaptiveSparkPlan":
+            return walk(node.initialPlan(), above)
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i), own)
+
+    walk(df._jdf.queryExecution().executedPlan(), 0)
+    return most
+
+
+def test_a_task_has_one_python_worker(spark, monkeypatch):
+    """Workers live on with all that later stages load, so a stage that needs two a task doubles an executor's memory."""
+    found, stored = {}, simhash.stored
+
+    def seen(df, name, *a):
+        found[name] = max(found.get(name, 0), python_in_a_stage(df))
+        return stored(df, name, *a)
+
+    monkeypatch.setattr(simhash, "stored", seen)
+    rows = spark.createDataFrame(list(enumerate(crowd())), "doc_id long, text string")
+    out = simhash.one_of_each(stored(rows, "rows"))
+    assert out.count() == 40
+    found["result"] = python_in_a_stage(out)
+    assert found["shingles"] == 1 and max(found.values()) == 1, found
