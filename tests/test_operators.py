@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -116,6 +117,31 @@ def test_search_model(spark, names, text, ratio, limit):
     assert [(r["id"], r["score"]) for r in got] == model_search(names, text, ratio, limit)
 
 
+def test_only_entities_of_several_names_are_grouped(spark):
+    names = [(1, "abcab", 5), (2, "abcd", 2), (2, "bcd", 1), (None, "xyz", 9), (None, "xyzw", 8), (3, None, 3), (4, "Abcabc", None)]
+    df = spark.createDataFrame(names, "id long, name string, seq long")
+    got = {tuple(r) for r in trigrams.postings(df).collect()}
+    one = {("abc", 1, 5), ("bca", 1, 5), ("cab", 1, 5), *((g, 4, None) for g in ("abc", "bca", "cab"))}
+    assert got == one | {("abc", 2, 2), ("bcd", 2, 1), ("xyz", None, 8), ("yzw", None, 8)}
+    # nothing is grouped or sorted by gram where each entity has one name, and no index is broadcast or sorted for its scores
+    single = trigrams.postings(df.filter("id = 1"))
+    index = trigrams.scores(spark.createDataFrame([("q", "abca")], "query string, text string"), single)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert plan.count("BroadcastExchange") == 1 and "BuildLeft" in plan
+
+
+def test_first_gram_and_seq_of_scores(spark):
+    """Queries too many to send give the same; seqs of any size, missing ones included, are kept."""
+    index = spark.createDataFrame([("abc", 1, -(2**63)), ("bcd", 1, 7), ("bcd", 2, 2**63 - 1), ("bcd", 3, None), ("bcd", 4, 5), ("bcd", 4, 3)], "gram string, id long, seq long")
+    asked = spark.createDataFrame([("q", "abcd")], "query string, text string")
+    want = {1: (2, 0, -(2**63)), 2: (1, 1, 2**63 - 1), 3: (1, 1, None), 4: (2, 1, 3)}
+    for few in (trigrams.FEW, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(trigrams, "FEW", few)
+            assert {r["id"]: (r["score"], *r["first"]) for r in trigrams.scores(asked, index).collect()} == want
+
+
 def test_split_lookup_verifies_if_asked(spark):
     index = spark.createDataFrame([(7, 0, 0), (7, 1, 1), (0, 2, 2)], "hash long, value long, seq long")
     names = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "idx long, value string")
